@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from prismcat.llm import exact_dedup, mixing
+from prismcat.llm import exact_dedup, mixing, packing, token_files
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op8_source_mixing": mixing.op8_source_mixing,
+    "op9_token_files": token_files.op9_token_files,
 }
 
 ORACLE_SQL = {
