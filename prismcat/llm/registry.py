@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from prismcat.llm import exact_dedup, mixing, packing, token_files
+from prismcat.llm import exact_dedup, mixing, packing, token_files, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_token_files": token_files.op9_token_files,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {

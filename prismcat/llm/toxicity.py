@@ -28,7 +28,7 @@ BITS = 20
 #: Documented bound on the rows that the weights are fitted on, and on what one of them brings.
 TRAIN_ROWS, TRAIN_FEATURES = 12_000, 20_000
 #: FTRL-proximal: rate, its smoothing, L1, L2, passes.
-ALPHA, BETA, L1, L2, PASSES = 0.2, 1.0, 1.0, 0.5, 4
+ALPHA, BETA, L1, L2, PASSES = 2.0, 1.0, 6.0, 0.0, 8
 #: Hashes of words that a worker keeps.
 CACHE_WORDS = 500_000
 
