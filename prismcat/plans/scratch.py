@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from prismcat.plans.ship import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for written tables, visible to the driver and all executors."""
@@ -26,6 +28,7 @@ class Scratch:
     """A set of written tables that can be dropped together once they are used up."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
