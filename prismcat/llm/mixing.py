@@ -50,7 +50,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     ``sizes``: (source, source_size).  A source whose share by weight exceeds
     MOST times its size stops there and its excess goes to the others by weight;
     in order of size by weight, those that stop come first, so running sums find
-    the last one.  One row per source, so one task suffices.
+    the level of the others: it falls from the first one that does not stop.  One row per source, so one task suffices.
     """
     order = Window.orderBy(F.col("source").isNull(), "source")
     n = len(WEIGHTS)
@@ -66,7 +66,7 @@ def targets(sizes: DataFrame) -> DataFrame:
         .withColumn("weights", F.sum("weight").over(everything))
         .withColumn("level", (F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.col("weights") - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
         .withColumn("stops", F.col("ratio") <= F.col("level"))
-        .withColumn("final", F.min(F.when(~F.col("stops"), F.col("level"))).over(everything))
+        .withColumn("final", F.max(F.when(~F.col("stops"), F.col("level"))).over(everything))
         .withColumn("target", F.when(F.col("stops"), F.col("most")).otherwise(F.col("weight") * F.coalesce("final", F.lit(0.0))))
         .select("source", "weight", "source_size", "target")
     )
@@ -184,7 +184,7 @@ WITH d AS (
   FROM r a
 ), t AS (
   SELECT source, source_size,
-         CASE WHEN ratio <= lev THEN most ELSE w * coalesce((SELECT min(lev) FROM l WHERE ratio > lev), 0) END AS target
+         CASE WHEN ratio <= lev THEN most ELSE w * coalesce((SELECT max(lev) FROM l WHERE ratio > lev), 0) END AS target
   FROM l
 ), u AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS base FROM t

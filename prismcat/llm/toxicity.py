@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismcat.llm._arrow import byte_texts, columns, slices
+from prismcat.plans.ship import ship
 
 BITS = 20
 #: Documented bound on the rows that the weights are fitted on, and on what one of them brings.
@@ -99,7 +100,7 @@ def crc_of_id(doc_id) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, allowed=None) -> np.ndarray:
     """Weights from the labelled documents for which ``allowed`` holds (all, if None)."""
-    spark = docs.sparkSession
+    ship(docs.sparkSession)
     marks = columns(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     if allowed is not None:
         marks = marks.where(allowed)
