@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prismcat.llm import chat, exact_dedup, mixing, packing, simhash, token_files, topk, toxicity
+from prismcat.llm import chat, exact_dedup, hmm_lm, mixing, packing, simhash, token_files, topk, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_top_k": topk.op6_top_k,
+    "op7_hmm_language_model": hmm_lm.op7_hmm_language_model,
     "op8_source_mixing": mixing.op8_source_mixing,
     "op9_token_files": token_files.op9_token_files,
     "op10_toxicity": toxicity.op10_toxicity,
