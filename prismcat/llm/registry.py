@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from prismcat.llm import chat, exact_dedup, hmm_lm, mixing, packing, simhash, token_files, topk, toxicity
+from prismcat.llm import chat, exact_dedup, hmm_lm, mixing, packing, simhash, substring_dedup, token_files, topk, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_suffix_dedup": substring_dedup.op2_suffix_dedup,
     "op3_chat_rotation": chat.op3_chat_rotation,
     "op4_simhash": simhash.op4_simhash,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
