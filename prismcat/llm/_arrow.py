@@ -6,11 +6,29 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
+from pyspark.sql import DataFrame
 
 
-def columns(df, *names: str):
+def place(names: list[str], name: str) -> int:
+    """Where a column is: the first of exactly this name, else the only one that differs in case."""
+    if name in names:
+        return names.index(name)
+    like = [i for i, n in enumerate(names) if n.lower() == name.lower()]
+    if len(like) != 1:
+        raise ValueError(f"no column {name} among {names}")
+    return like[0]
+
+
+def by_place(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns named by place, and its own names; no name of its own can then clash with a helper's."""
+    names = df.columns
+    return df.toDF(*[f"_c{i}" for i in range(len(names))]), names
+
+
+def columns(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only; a missing one is an error, extra ones go, whatever their names."""
-    return df.select(*[df[f"`{n}`"].alias(n) for n in names])
+    plain, own = by_place(df)
+    return plain.select(*[plain[f"_c{place(own, n)}"].alias(n) for n in names])
 
 
 def byte_texts(batch: pa.RecordBatch, name: str) -> list[bytes]:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismcat.llm._arrow import columns
+from prismcat.llm._arrow import by_place, columns, place
 from prismcat.plans.scratch import Scratch
 
 #: Weights of the sources in ascending order of code points, null last, repeating.
@@ -29,18 +29,18 @@ DIGITS, LEVELS = 3, 3
 MOST_SOURCES = 100_000
 
 
-def _hash() -> F.Column:
+def _hash(doc, text) -> F.Column:
     """DIGITS * LEVELS hexadecimal digits as a long, from the document's id (without one: from its text)."""
-    hexes = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary")), 1, DIGITS * LEVELS)
+    hexes = F.substring(F.md5(F.coalesce(doc.cast("string"), text, F.lit("")).cast("binary")), 1, DIGITS * LEVELS)
     return F.conv(hexes, 16, 10).cast("long")
 
 
-def measured(docs: DataFrame, *keep: str) -> DataFrame:
-    """docs' rows with ``size`` (words) and ``h``."""
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size (words) and h of every row."""
     words = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20\x09-\x0D]+", "a")
     size = F.length(F.translate(words, " \t\n\x0b\x0c\r", ""))
-    return columns(docs, "doc_id", "text", "source", *keep).select(
-        "doc_id", "source", size.cast("long").alias("size"), _hash().alias("h"), *keep
+    return columns(docs, "doc_id", "text", "source").select(
+        "doc_id", "source", size.cast("long").alias("size"), _hash(F.col("doc_id"), F.col("text")).alias("h")
     )
 
 
@@ -148,15 +148,12 @@ def mixed(docs: DataFrame) -> DataFrame:
     Documents without words cost nothing and stay once if their hash lies below the threshold or their source is taken whole.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    names = docs.columns
     goal = thresholds(scratch.write(measured(docs), "sizes"), scratch)
-    own = docs.withColumn("h", _hash())
-    return (
-        _copies(goal, own)
-        .select(*[F.col(f"`{n}`") for n in names], F.explode(F.sequence(F.lit(0), F.col("copies"))).alias("_copy"))
-        .where("_copy > 0")
-        .select(*[F.col(f"`{n}`") for n in names])
-    )
+    plain, names = by_place(docs)
+    doc, text, source = (F.col(f"_c{place(names, n)}") for n in ("doc_id", "text", "source"))
+    own = _copies(goal, plain.withColumn("h", _hash(doc, text)).withColumn("source", source))
+    kept = [F.col(f"_c{i}") for i in range(len(names))]
+    return own.select(*kept, F.explode(F.sequence(F.lit(0), F.col("copies"))).alias("_copy")).where("_copy > 0").select(*kept).toDF(*names)
 
 
 def op8_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismcat.llm._arrow import byte_texts, columns, slices
+from prismcat.llm._arrow import by_place, byte_texts, columns, place, slices
 from prismcat.plans.ship import ship
 
 BITS = 20
@@ -171,9 +171,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the model does not reject, with all their columns."""
     weights = train(docs, labels, ~held_out(F.col("doc_id")))
-    names = [F.col(f"`{n}`") for n in docs.columns]
-    scored = docs.withColumn("_score", scorer(docs.sparkSession, weights)(F.col("text")))
-    return scored.where(F.col("_score") < THRESHOLD).select(*names)
+    plain, names = by_place(docs)
+    scored = plain.withColumn("_score", scorer(docs.sparkSession, weights)(F.col(f"_c{place(names, 'text')}")))
+    return scored.where(F.col("_score") < THRESHOLD).drop("_score").toDF(*names)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
