@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,8 @@ from prismcat.plans.scratch import Scratch
 WINDOW, GRAM = 50, 16
 #: Bytes of text in a block; a text is never split.
 BLOCK = 2 << 20
+#: Bytes that suffixes are taken from at once.
+PIECE = 64 << 10
 #: Blocks that splitters and hot leading strings are sampled from at most; ranges and buckets per shuffle partition.
 SAMPLE_BLOCKS, PER_PARTITION = 48, 4
 #: A leading string is hot with this share of a range's fair part, and so many strings in the sample.
@@ -68,34 +71,46 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def suffixes(data: np.ndarray, sizes: np.ndarray):
+def _suffixes(data: np.ndarray, sizes: np.ndarray):
     """Minimizers of all windows inside the texts of ``data``: hash, position, first window, windows, text number."""
     n = len(data)
-    none = np.zeros(0, dtype=np.int64)
     if n < WINDOW:
-        return none.astype(np.uint64), none, none, none, none
+        return _NONE
     h = gram_hashes(data)
     least = (h & ~_POS) | np.arange(n, dtype=np.uint64)
     span, done = WINDOW - GRAM + 1, 1
     while done < span:
         step = min(done, span - done)
-        least[: n - step] = np.minimum(least[: n - step], least[step:])
+        np.minimum(least[: n - step], least[step:], out=least[: n - step])
         done += step
     ends = np.cumsum(sizes)
     # windows that start in the last WINDOW - 1 bytes of a text leave it
-    stops = np.zeros(n + 1, dtype=np.int32)
     full = sizes > 0
-    np.add.at(stops, np.maximum(ends - sizes, ends - WINDOW + 1)[full], 1)
-    np.add.at(stops, ends[full], -1)
+    stops = np.bincount(np.maximum(ends - sizes, ends - WINDOW + 1)[full], minlength=n + 1) - np.bincount(ends[full], minlength=n + 1)
     window = np.flatnonzero(np.cumsum(stops[:n]) == 0)
     if not len(window):
-        return none.astype(np.uint64), none, none, none, none
+        return _NONE
     at = (least[window] & _POS).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (window[1:] != window[:-1] + 1)]))
     pos, first = at[new], window[new]
     return h[pos], pos, first, np.diff(np.append(new, len(at))), np.searchsorted(ends, first, side="right")
 
 
+_NONE = (np.zeros(0, dtype=np.uint64), *(np.zeros(0, dtype=np.int64) for _ in range(4)))
+
+
+def suffixes(data: np.ndarray, sizes: np.ndarray):
+    """The same in pieces of whole texts small enough for a processor's cache."""
+    ends = np.cumsum(sizes)
+    found, a, byte = [], 0, 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, byte + PIECE, side="right")))
+        h, pos, first, many, of = _suffixes(data[byte : int(ends[b - 1])], sizes[a:b])
+        found.append((h, pos + byte, first + byte, many, of + a))
+        a, byte = b, int(ends[b - 1])
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else _NONE
+
+
 class Block:
     """Texts of a block with their suffixes."""
 
@@ -109,50 +124,44 @@ class Block:
         self.data = np.frombuffer(self.text, dtype=np.uint8)
         self.hash, self.pos, self.first, self.many, self.of = suffixes(self.data, self.sizes)
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct hashes, and those of them that several documents of the block have."""
+    def keys(self) -> np.ndarray:
+        """Distinct hashes, twice those that several documents of the block have."""
         order = np.lexsort((self.docs[self.of], self.hash))
         h, d = self.hash[order], self.docs[self.of][order]
-        own = np.unique(h)
-        several = np.unique(h[1:][(h[1:] == h[:-1]) & (d[1:] != d[:-1])])
-        return own, several
+        new = np.append(True, h[1:] != h[:-1])[: len(h)]
+        several = np.unique(h[1:][~new[1:] & (d[1:] != d[:-1])])
+        return np.concatenate([h[new], several])
 
-    def strings(self, shared: dict[int, np.ndarray], buckets: int, hot: set[bytes]):
+    def strings(self, shared: np.ndarray, buckets: int, hot: np.ndarray):
         """Distinct strings of the suffixes left, in order of their first place.
 
-        Returns (string, place of its leading bytes, smallest doc) and the places
-        (string number, document, first window) of all their occurrences.
+        Returns the strings, their leading bytes' hash and place (-1 for a window of a hot one), the smallest doc of
+        each, and all places: string number, document, first window.
         """
-        _, several = self.keys()
-        left = np.isin(self.hash, several)
-        bucket, key = split(self.hash, buckets)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b, have in shared.items():
-            part = order[cuts[b] : cuts[b + 1]]
-            left[part[np.isin(key[part], have)]] = True
-        at = np.flatnonzero(left)
-        number: dict[bytes, int] = {}
-        lead, places = [], []
-        text, docs = self.text, self.docs[self.of[at]].tolist()
-        for doc, p, f, m in zip(docs, self.pos[at].tolist(), self.first[at].tolist(), self.many[at].tolist()):
-            if hot and text[p : p + GRAM] in hot:
-                for k in range(f, f + m):
-                    s = text[k : k + WINDOW]
-                    n = number.setdefault(s, len(number))
-                    if n == len(lead):
-                        lead.append(-1)
-                    places.append((n, doc, k))
-            else:
-                s = text[f : f + m + WINDOW - 1]
-                n = number.setdefault(s, len(number))
-                if n == len(lead):
-                    lead.append(p - f)
-                places.append((n, doc, f))
-        occ = np.array(places, dtype=np.int64).reshape(-1, 3)
-        least = np.full(len(lead), NO_DOC)
-        np.minimum.at(least, occ[:, 0], occ[:, 1])
-        return list(number), np.array(lead, dtype=np.int64), least, occ
+        at = np.flatnonzero(np.isin(joined(*split(self.hash, buckets)), shared))
+        burst = np.isin(self.hash[at], hot)
+        text, number = self.text, {}
+        setdefault = number.setdefault
+        plain = at[~burst]
+        ends = (self.first + self.many + WINDOW - 1)[plain]
+        n = [setdefault(text[a:b], len(number)) for a, b in zip(self.first[plain].tolist(), ends.tolist())]
+        n_plain = len(number)
+        many = self.many[at[burst]]
+        owner = np.repeat(at[burst], many)
+        start = self.first[owner] + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        windows: dict[bytes, int] = {}
+        setdefault = windows.setdefault
+        n += [n_plain + setdefault(text[a : a + WINDOW], len(windows)) for a in start.tolist()]
+        n = np.array(n, dtype=np.int64)
+        doc = self.docs[self.of[np.concatenate([plain, owner])]]
+        first = np.concatenate([self.first[plain], start])
+        lead = np.concatenate([(self.pos - self.first)[plain], np.full(len(start), -1)])
+        strings = [*number, *windows]
+        own = np.zeros(len(strings), dtype=np.int64)
+        own[n[::-1]] = np.arange(len(n))[::-1]
+        order = np.argsort(n, kind="stable")
+        least = np.minimum.reduceat(doc[order], np.searchsorted(n[order], np.arange(len(strings)))) if len(n) else doc
+        return strings, lead[own], least, n, doc, first
 
 
 def split(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,6 +169,11 @@ def split(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), h.astype(np.uint32)
 
 
+def joined(bucket: np.ndarray | int, key: np.ndarray) -> np.ndarray:
+    """Bucket and key as one number."""
+    return (np.asarray(bucket).astype(np.uint64) << np.uint64(32)) | key.astype(np.uint64)
+
+
 def _words(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Eight bytes from each place on as a number that sorts like them, only the first ``n`` of them."""
     w = data[at[:, None] + np.arange(8)].view(">u8").reshape(-1).astype(np.uint64)
@@ -190,45 +204,52 @@ def multikey(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     return order, group
 
 
-def smaller(data: np.ndarray, start: np.ndarray, size: np.ndarray, lead: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """For strings of a range: bit k says that window k occurs with a smaller doc.  ``data`` has 8 spare bytes."""
-    out = np.zeros(len(start), dtype=np.uint64)
-    if not len(start):
-        return out
-    order, group = multikey(data, start + np.maximum(lead, 0), GRAM)
+def smaller(text: bytes, size: np.ndarray, lead: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For strings of a range, one after the other in ``text``: bit k says that window k occurs with a smaller doc."""
+    if not len(size):
+        return np.zeros(0, dtype=np.uint64)
+    ends = np.cumsum(size)
+    number: dict[bytes, int] = {}
+    setdefault = number.setdefault
+    n = np.array([setdefault(text[a:b], len(number)) for a, b in zip((ends - size).tolist(), ends.tolist())], dtype=np.int64)
+    order = np.argsort(n, kind="stable")
+    cuts = np.searchsorted(n[order], np.arange(len(number)))
+    least = np.minimum.reduceat(docs[order], cuts)
+    own = order[cuts]
+    # distinct strings; those that share their leading bytes are compared window by window
+    start, length = (ends - size)[own], size[own]
+    data = np.frombuffer(text + b"\0" * 64, dtype=np.uint8)
+    order, group = multikey(data, start + np.maximum(lead[own], 0), GRAM)
     cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    ends = np.append(cuts[1:], len(order))
-    low = np.minimum.reduceat(docs[order], cuts)
-    high = np.maximum.reduceat(docs[order], cuts)
-    # strings that share their leading bytes with another document's
-    busy = np.repeat(low != high, ends - cuts)
-    part = order[busy]
-    if not len(part):
-        return out
-    many = (size - WINDOW + 1)[part]
-    owner = np.repeat(part, many)
-    k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    worder, wgroup = multikey(data, start[owner] + k, WINDOW)
-    d = docs[owner[worder]]
-    cuts = np.flatnonzero(np.append(True, wgroup[1:] != wgroup[:-1]))
-    least = np.repeat(np.minimum.reduceat(d, cuts), np.diff(np.append(cuts, len(d))))
-    hit = worder[d > least]
-    np.bitwise_or.at(out, owner[hit], np.uint64(1) << k[hit].astype(np.uint64))
-    return out
+    count = np.diff(np.append(cuts, len(order)))
+    differ = np.minimum.reduceat(least[order], cuts) != np.maximum.reduceat(least[order], cuts)
+    part = order[np.repeat((count > 1) & differ, count)]
+    bits = np.zeros(len(number), dtype=np.uint64)
+    if len(part):
+        many = length[part] - WINDOW + 1
+        owner = np.repeat(part, many)
+        k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        worder, wgroup = multikey(data, start[owner] + k, WINDOW)
+        d = least[owner[worder]]
+        cuts = np.flatnonzero(np.append(True, wgroup[1:] != wgroup[:-1]))
+        low = np.repeat(np.minimum.reduceat(d, cuts), np.diff(np.append(cuts, len(d))))
+        hit = worder[d > low]
+        np.bitwise_or.at(bits, owner[hit], np.uint64(1) << k[hit].astype(np.uint64))
+    full = (np.uint64(1) << (size - WINDOW + 1).astype(np.uint64)) - np.uint64(1)
+    return np.where(docs > least[n], full, bits[n])
 
 
 class Ranges:
     """Which range a string goes to: by its leading bytes, or, window by window, by a hash."""
 
-    def __init__(self, splitters: np.ndarray, hot: set[bytes]):
-        self.splitters, self.hot = splitters, hot
+    def __init__(self, splitters: np.ndarray, hot: np.ndarray):
+        self.splitters, self.hot = splitters, hot  # hot: hashes of leading bytes
 
     def of(self, strings: list[bytes], lead: np.ndarray) -> np.ndarray:
-        first = np.frombuffer(b"".join(s[max(a, 0) : max(a, 0) + 8] for s, a in zip(strings, lead.tolist())), dtype=">u8").astype(np.uint64)
-        out = np.searchsorted(self.splitters, first, side="right")
-        for i in np.flatnonzero(lead < 0).tolist():
-            out[i] = int.from_bytes(hashlib.blake2b(strings[i], digest_size=8).digest(), "little") % (len(self.splitters) + 1)
-        return out
+        n = int((lead >= 0).sum())  # windows come last
+        first = np.frombuffer(b"".join([s[a : a + 8] for s, a in zip(strings[:n], lead.tolist())]), dtype=">u8").astype(np.uint64)
+        hashed = np.array([zlib.crc32(s) for s in strings[n:]], dtype=np.int64) % (len(self.splitters) + 1)
+        return np.concatenate([np.searchsorted(self.splitters, first, side="right"), hashed])
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -273,8 +294,7 @@ def screen(made: DataFrame, buckets: int) -> DataFrame:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                own, _ = Block(row).keys()
-                bucket, key = split(own, buckets)
+                bucket, key = split(Block(row).keys(), buckets)
                 order = np.lexsort((key, bucket))
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
                 full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
@@ -285,18 +305,21 @@ def screen(made: DataFrame, buckets: int) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         own = [np.frombuffer(k, dtype="<u4") for k in table.column("keys").to_pylist()]
-        # keys are distinct within a block but for clashes, which only look like company
-        key, n = np.unique(np.concatenate(own), return_counts=True)
-        several = key[n > 1]
-        both = [k[np.isin(k, several)].tobytes() for k in own]
+        # within a block a key is there once, or twice if several of its documents have it; clashes only look like company
+        keys_ = np.concatenate(own)
+        _, at, n = np.unique(keys_, return_inverse=True, return_counts=True)
+        stay = n[at] > 1
+        ends = np.cumsum([len(k) for k in own])
+        both = [k[stay[e - len(k) : e]].tobytes() for k, e in zip(own, ends.tolist())]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "keys": pa.array(both, pa.binary())})
 
     met = made.mapInArrow(keys, "bucket int, block long, keys binary").groupBy("bucket").applyInArrow(meet, "block long, bucket int, keys binary")
     return met.where("length(keys) > 0")
 
 
-def _shared(row: dict) -> dict[int, np.ndarray]:
-    return {x["bucket"]: np.frombuffer(x["keys"], dtype="<u4") for x in row["shared"] or []}
+def _shared(row: dict) -> np.ndarray:
+    parts = [joined(x["bucket"], np.frombuffer(x["keys"], dtype="<u4")) for x in row["shared"] or []]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
 
 
 def sampled(rows: DataFrame, buckets: int, ranges: int) -> Ranges:
@@ -306,7 +329,8 @@ def sampled(rows: DataFrame, buckets: int, ranges: int) -> Ranges:
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                strings, lead, _, _ = Block(row).strings(_shared(row), buckets, set())
+                block = Block(row)
+                strings, lead, _, _, _, _ = block.strings(_shared(row), buckets, np.zeros(0, dtype=np.uint64))
                 step = max(1, len(strings) // 4096)
                 got = [s[a : a + GRAM] for s, a in list(zip(strings, lead.tolist()))[::step]]
                 yield pa.record_batch({"lead": pa.array(got, pa.binary())})
@@ -314,9 +338,10 @@ def sampled(rows: DataFrame, buckets: int, ranges: int) -> Ranges:
     found = rows.join(F.broadcast(few), "block", "left_semi").mapInArrow(look, "lead binary").groupBy("lead").count().collect()
     found = sorted((bytes(k), n) for k, n in found)  # at most SAMPLE_BLOCKS * 8192 rows
     total = sum(n for _, n in found)
-    hot = {k for k, n in found if n >= HOT_LEAST and n >= HOT_SHARE * total / ranges}
-    first = np.array([int.from_bytes(k[:8], "big") for k, n in found if k not in hot], dtype=np.uint64)
-    upto = np.cumsum([n for k, n in found if k not in hot])
+    many = {k for k, n in found if n >= HOT_LEAST and n >= HOT_SHARE * total / ranges}
+    hot = np.array([gram_hashes(np.frombuffer(k, dtype=np.uint8))[0] for k in sorted(many)], dtype=np.uint64)
+    first = np.array([int.from_bytes(k[:8], "big") for k, n in found if k not in many], dtype=np.uint64)
+    upto = np.cumsum([n for k, n in found if k not in many])
     if not len(first):
         return Ranges(np.zeros(0, dtype=np.uint64), hot)
     cuts = np.searchsorted(upto, np.arange(1, ranges) * upto[-1] / ranges)
@@ -338,7 +363,7 @@ def remove(docs: DataFrame, with_text: bool = False) -> DataFrame:
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                got, lead, least, _ = Block(row).strings(_shared(row), buckets, sent.value.hot)
+                got, lead, least, _, _, _ = Block(row).strings(_shared(row), buckets, sent.value.hot)
                 to = sent.value.of(got, lead)
                 order = np.argsort(to, kind="stable")
                 for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
@@ -356,9 +381,8 @@ def remove(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     def settle(table: pa.Table) -> pa.Table:
         size, lead, docs = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("size", np.uint8), ("lead", np.int8), ("docs", "<i8")))
-        size = size.astype(np.int64)
-        data = np.frombuffer(b"".join(table.column("text").to_pylist()) + b"\0" * 64, dtype=np.uint8)
-        bits = smaller(data, np.cumsum(size) - size, size, lead.astype(np.int64), docs.astype(np.int64)).astype("<u8").tobytes()
+        text = b"".join(table.column("text").to_pylist())
+        bits = smaller(text, size.astype(np.int64), lead.astype(np.int64), docs.astype(np.int64)).astype("<u8").tobytes()
         ends = np.cumsum([len(x) for x in table.column("size").to_pylist()]).tolist()
         cells = [bits[8 * a : 8 * b] for a, b in zip([0, *ends], ends)]
         return pa.table({"block": table.column("block"), "range": table.column("range"), "bits": pa.array(cells, pa.binary())})
@@ -380,7 +404,7 @@ def remove(docs: DataFrame, with_text: bool = False) -> DataFrame:
 def _finished(row: dict, buckets: int, ranges: Ranges, with_text: bool) -> pa.RecordBatch:
     """Remove a block's bytes."""
     block = Block(row)
-    strings, lead, least, places = block.strings(_shared(row), buckets, ranges.hot)
+    strings, lead, least, number, doc, first = block.strings(_shared(row), buckets, ranges.hot)
     bits = np.zeros(len(strings), dtype=np.uint64)
     if strings:
         to = ranges.of(strings, lead)
@@ -389,20 +413,18 @@ def _finished(row: dict, buckets: int, ranges: Ranges, with_text: bool) -> pa.Re
         for x in row["bits"] or []:
             bits[order[cuts[x["range"]] : cuts[x["range"] + 1]]] = np.frombuffer(x["bits"], dtype="<u8")
     n = len(block.data)
-    turn = np.zeros(n + 1, dtype=np.int64)
     many = np.array([len(s) for s in strings], dtype=np.int64) - WINDOW + 1
-    number, doc, first = places[:, 0], places[:, 1], places[:, 2]
     # a later document of the block loses the whole string; the smallest one what another block says
     full = (np.uint64(1) << many.astype(np.uint64)) - np.uint64(1)
     mine = np.where(doc > least[number], full[number], bits[number])
     whole = mine == full[number]
-    np.add.at(turn, first[whole], 1)
-    np.add.at(turn, first[whole] + many[number[whole]] + WINDOW - 1, -1)
+    begin, end = [first[whole]], [first[whole] + many[number[whole]] + WINDOW - 1]
     some = np.flatnonzero(~whole & (mine != 0))
-    for k in range(int(many.max()) if len(many) else 0):
+    for k in range(int(many.max()) if len(some) else 0):
         at = first[some[(mine[some] >> np.uint64(k)) & np.uint64(1) == 1]] + k
-        np.add.at(turn, at, 1)
-        np.add.at(turn, at + WINDOW, -1)
+        begin.append(at)
+        end.append(at + WINDOW)
+    turn = np.bincount(np.concatenate(begin), minlength=n + 1) - np.bincount(np.concatenate(end), minlength=n + 1)
     gone = np.cumsum(turn[:n]) > 0
     out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")}
     ends = np.cumsum(block.sizes).tolist()
