@@ -66,6 +66,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
                 "labels",
             )
         at = roots.select("node", "parent")
+        last = live
         live = scratch.write(
             live.where("u <> v")
             .join(at.select(F.col("node").alias("u"), F.col("parent").alias("pu")), "u")
@@ -75,5 +76,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .distinct(),
             "edges",
         )
+        scratch.drop(last)
         if live.isEmpty():
             return labels

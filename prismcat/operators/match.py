@@ -101,8 +101,9 @@ def groups(edges: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     from prismcat.operators.cluster import connected_components
+    from prismcat.plans.scratch import numbered
 
     members = connected_components(edges)
-    firsts = members.where("node = component").select("component", F.row_number().over(Window.orderBy("component")).alias("group_no"))
+    firsts = numbered(members.where("node = component").select("component"), ["component"], "group_no")
     nth = F.row_number().over(Window.partitionBy("component").orderBy("node"))
     return members.withColumn("member_no", nth).join(firsts, "component").select("group_no", "member_no", F.col("node").alias("id"))

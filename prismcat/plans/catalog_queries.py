@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from prismcat.functions import exprs as X
 from prismcat.operators import match, rank, reconcile
 from prismcat.operators.cluster import connected_components
-from prismcat.plans.scratch import Scratch
+from prismcat.plans.scratch import Scratch, numbered
 from prismcat.sources import catalog as C
 from prismcat.sources.catalog import table
 
@@ -265,8 +265,8 @@ _EXACT = f"""{C.CONTENTS}, f AS (SELECT hash AS asset_id, path, mtime, is_extern
 
 @query(f"WITH {_EXACT} SELECT *, lpad(row_number() OVER (ORDER BY asset_id, path)::VARCHAR, 6, '0') || '.lnk' AS shortcut FROM plan")
 def exact_plan_default(spark, sf_dir: str) -> DataFrame:
-    nth = F.row_number().over(Window.orderBy("asset_id", "path"))
-    return _exact(spark, sf_dir, False).withColumn("shortcut", F.concat(F.lpad(nth.cast("string"), 6, "0"), F.lit(".lnk")))
+    rows = numbered(_exact(spark, sf_dir, False), ["asset_id", "path"], "nth")
+    return rows.withColumn("shortcut", F.concat(F.lpad(F.col("nth").cast("string"), 6, "0"), F.lit(".lnk"))).drop("nth")
 
 
 @query(f"""WITH {_EXACT}, i AS (SELECT *, row_number() OVER o AS nth2, first_value(path) OVER o AS survivor2 FROM f WHERE has_int = 1 AND n > 1

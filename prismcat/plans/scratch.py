@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from prismcat.plans.ship import ship
 
@@ -25,30 +26,54 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """A set of written tables that can be dropped together once they are used up."""
+    """A set of written tables; what is not dropped before goes when the session's JVM ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
 
     def write(self, df: DataFrame, label: str = "t") -> DataFrame:
         """Write ``df`` and return it as read back, with the same columns."""
         self._n += 1
         path = f"{self.base}/{self._n:03d}-{label}"
         df.write.option("compression", "zstd").parquet(path)
+        self.until_exit()
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._scratch_path = path
         return out
 
+    def _at(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def until_exit(self) -> None:
+        """Have the folder deleted when the JVM ends."""
+        fs, p = self._at(self.base)
+        fs.deleteOnExit(p)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete written tables that no later step reads."""
         for df in tables:
             path = getattr(df, "_scratch_path", None)
             if path:
-                jvm = self.spark._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                fs, p = self._at(path)
+                fs.delete(p, True)
+
+
+def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``, its rows' numbers from 1 in the order of ``keys``, without gathering them in one task.
+
+    Rows are ranged by the keys; what the driver sees is one count per partition.
+    """
+    place = F.monotonically_increasing_id()
+    rows = Scratch(df.sparkSession, "numbered").write(
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.shiftright(place, 33)).withColumn("_row", place.bitwiseAND((1 << 33) - 1))
+    )
+    before, offsets = 0, []
+    for part, n in sorted(tuple(r) for r in rows.groupBy("_part").count().collect()):
+        offsets.append((part, before))
+        before += n
+    table = df.sparkSession.createDataFrame(offsets, "_part long, _before long")
+    return rows.join(F.broadcast(table), "_part").withColumn(name, F.col("_before") + F.col("_row") + 1).drop("_part", "_row", "_before")
