@@ -216,6 +216,7 @@ def components(docs: DataFrame, distance: int = 2, words: int = WORDS) -> DataFr
         .unionByName(distinct.where("n > 1").join(classes, F.col("fp") == F.col("node"), "left_anti").select("fp", F.col("first").alias("component_id"))),
         "shared",
     )
+    scratch.drop(joined, members, least)
     return made.join(shared.withColumn("_in", F.lit(True)), "fp", "left").select(
         "doc_id", "fp", "text_key", F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )

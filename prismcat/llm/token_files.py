@@ -37,6 +37,7 @@ from prismcat.llm import _tokens
 from prismcat.llm._arrow import columns, slices
 from prismcat.llm._rows import text_key
 from prismcat.plans.scratch import Scratch
+from prismcat.plans.ship import ship
 
 MAGIC = b"PFORids1"
 BLOCK = 128
@@ -172,6 +173,7 @@ def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 def write_tokens(docs: DataFrame, out: str, path: str | None = None) -> None:
     """Encode every text with an end id after it and write the shards to the folder ``out``."""
+    ship(docs.sparkSession)
     path = path or public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +207,7 @@ _NAMES = ["part", "shard", "first", "n_docs", "n_ids", "bytes"]
 
 def read_tokens(spark: SparkSession, out: str, with_ids: bool = True) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (and ids)."""
+    ship(spark)
     shards = spark.read.schema(_SHARDS).parquet(out)
     # one row per part, as many as the writing job had tasks
     before, bases = 0, {}
@@ -233,6 +236,7 @@ def read_tokens(spark: SparkSession, out: str, with_ids: bool = True) -> DataFra
 
 def op9_token_files(spark, sf_dir: str) -> DataFrame:
     """Contract query: all ``documents`` written and read back."""
-    out = Scratch(spark, "tokens").base
-    write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), out)
-    return read_tokens(spark, out, with_ids=False)
+    scratch = Scratch(spark, "tokens")
+    write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch.base)
+    scratch.until_exit()
+    return read_tokens(spark, scratch.base, with_ids=False)
