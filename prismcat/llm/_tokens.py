@@ -1,9 +1,10 @@
-"""Batch encoding with the tokenizers library, one call per distinct word.
+"""Batch encoding with the tokenizers library, one call per distinct pre-token.
 
 Byte-pair encoding works on pre-tokens that never reach across certain places
-in a text.  Texts are cut at such places into units; each distinct unit is
-encoded once by the library and kept in a bounded cache as little-endian
-unsigned 32-bit ids, so a text is mostly dictionary look-ups and one join.
+in a text.  Texts are cut at such places into units; a unit's ids are made once,
+from its pre-tokens' ids, which are made once by the library's model, and both
+are kept in bounded caches as little-endian unsigned 32-bit ids.  So a text is
+mostly dictionary look-ups and one join.
 """
 
 from __future__ import annotations
@@ -11,21 +12,24 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Units in each of a worker's two cache generations.  Bounds memory, not results.
-CACHE_UNITS = 400_000
-#: Longer units are encoded each time.
+#: Entries in each of two generations of a worker's caches.  Bounds memory, not results.
+CACHE_UNITS, CACHE_PIECES = 400_000, 300_000
+#: Longer units and pre-tokens are encoded each time.
 CACHE_CHARS = 48
+#: Pre-tokens of byte-level encoding with the library's own pattern (a fixed value).
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space with white space on both sides is no safe cut.  Told widely: a text with any of these goes whole.
 _RUNS = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")
 _ODD_ASCII = ("\x1c", "\x1d", "\x1e", "\x1f")
-_ODD = ("\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
+_ODD = ("\x85", "\xa0", " ", *map(chr, range(0x2000, 0x200B)), " ", " ", " ", " ", "　")
 
 
 def _unsafe(text: str) -> bool:
@@ -34,6 +38,35 @@ def _unsafe(text: str) -> bool:
     return not text.isascii() and any(c in text for c in _ODD)
 
 
+def _byte_chars() -> dict[int, str]:
+    """How byte-level models write each byte: itself where printable, else the next free character from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class _Cache(dict):
+    """Makes missing entries; an entry of the older generation moves up when it is asked for."""
+
+    def __init__(self, make: Callable[[str], bytes], older: dict[str, bytes] | None = None):
+        self.make, self.older = make, older or {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.make(key)
+        if len(key) <= CACHE_CHARS:
+            self[key] = ids
+        return ids
+
+    def next(self, most: int) -> _Cache:
+        """This cache, or a new generation if it is full."""
+        if len(self) <= most:
+            return self
+        self.older = {}
+        return _Cache(self.make, self)
+
+
 class UnitEncoder:
     """Encodes texts like ``Tokenizer.encode(text, add_special_tokens=False)``.
 
@@ -42,10 +75,12 @@ class UnitEncoder:
     unit), ``drop`` (white space never reaches a token: a space or line feed
     separates units) and ``whole`` (anything else: no units, each text is
     encoded by the library).  Texts that hold an added token's string, and for
-    ``lead`` texts with runs of white space around a space, go whole as well.
+    ``lead`` texts with runs of white space around a space, go whole as well;
+    so do units with characters from U+0250 on.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -54,97 +89,56 @@ class UnitEncoder:
         parts = [p["type"] for p in (norm or {}).get("normalizers", [])]
         split = (pre.get("pretokenizers") or [{}])[0]
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
-            self.way = "lead"
+            self.way, pattern = "lead", BYTE_LEVEL
         elif parts == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and split.get("invert"):
-            self.way = "drop"
+            self.way, pattern = "drop", split["pattern"]["Regex"]
         else:
-            self.way = "whole"
+            self.way, pattern = "whole", r"\X"
+        self.find = regex.compile(pattern).findall
         added = [t["content"] for t in spec.get("added_tokens", [])]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.lead = "\u0120" if self.way == "lead" else ""  # how a leading space looks to a byte-level model
-        case = str if self.lead else str.lower
-        self._word = lambda w: array("I", [t.id for t in self.tok.model.tokenize(case(w))]).tobytes()
-        self._ends = {c: self._whole(c) for c in ".,\n"}
+        self.chars = _byte_chars()
+        self.pieces = _Cache(self._piece)
+        self.units = _Cache((lambda u: self._unit(" " + u)) if self.way == "lead" else self._unit)
+        self.heads = _Cache(self._unit)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _simple(self, unit: str, lead: bool) -> bytes | None:
-        """Ids of ASCII letters with at most one full stop or comma after them, else None."""
-        word, end = (unit[:-1], unit[-1]) if unit[-1:] in (".", ",") else (unit, "")
-        if not (word.isascii() and word.isalpha()):
-            return None
-        ids = self.cache.get(word) if lead and end else None
-        if ids is None:
-            ids = self._word(self.lead + word if lead else word)
-        return ids + self._ends[end] if end else ids
-
-    def _learn(self, units: set[str]) -> dict[str, bytes]:
-        """Ids of units.
-
-        Plain units go straight to the library's model, pre-token by pre-token;
-        the others are encoded many to a call, as separate words of one sequence.
-        """
-        got: dict[str, bytes] = {}
-        rest: list[str] = []
-        for u in units:
-            ids = self.older.get(u)
-            if ids is None:
-                ids = self._simple(u, True)
-            if ids is None and "\n" in u:
-                # a line feed between two others is a pre-token of its own
-                head, *tail = u.split("\n")
-                parts = [self._simple(head, True), *(self._simple(x, False) for x in tail)]
-                ids = None if None in parts else self._ends["\n"].join(parts)
-            if ids is None:
-                rest.append(u)
-            else:
-                got[u] = ids
-        lead = " " if self.way == "lead" else ""
-        for at in range(0, len(rest), 1000):
-            part = rest[at : at + 1000]
-            enc = self.tok.encode([lead + u for u in part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(enc.ids, dtype="<u4").tobytes()
-            cuts = np.searchsorted(np.asarray(enc.word_ids, dtype=np.int64), np.arange(len(part) + 1)).tolist()
-            got.update((u, ids[4 * a : 4 * b]) for u, a, b in zip(part, cuts, cuts[1:]))
-        return got
-
-    def _units(self, text: str) -> list[str]:
-        return text.split(" ") if self.way == "lead" else text.replace("\n", " ").split(" ")
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a pre-token, by the library's model."""
+        shown = piece.encode().decode("latin-1").translate(self.chars)
+        return array("I", [t.id for t in self.tok.model.tokenize(shown)]).tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        if not unit:
+            return b""
+        if not unit.isascii():
+            if max(unit) >= "ɐ" or "İ" in unit:  # no Latin letter, or one that lower case makes two of
+                return self._whole(unit)
+            if self.way == "drop":
+                unit = unicodedata.normalize("NFC", unit)
+        if self.way == "drop":
+            unit = unit.lower()
+        return b"".join(map(self.pieces.__getitem__, self.find(unit)))
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text (null: empty) as little-endian unsigned 32-bit bytes."""
-        out: list[bytes | None] = []
-        todo: list[tuple[int, list[str], str]] = []
-        missing: set[str] = set()
-        if len(self.cache) > CACHE_UNITS:
-            self.older, self.cache = self.cache, {}
-        get, lead = self.cache.get, self.way == "lead"
-        for i, text in enumerate(texts):
+        self.units, self.heads = self.units.next(CACHE_UNITS), self.heads.next(CACHE_UNITS // 8)
+        self.pieces = self.pieces.next(CACHE_PIECES)
+        known, out = self.units.__getitem__, []
+        for text in texts:
             if not text:
                 out.append(b"")
-                continue
-            if self.way == "whole" or (self.added and "<" in text and self.added.search(text)) or (lead and _unsafe(text)):
+            elif self.way == "whole" or (self.added and "<" in text and self.added.search(text)):
+                out.append(self._whole(text))
+            elif self.way == "drop":
+                out.append(b"".join(map(known, text.replace("\n", " ").split(" "))))
+            elif _unsafe(text):
                 out.append(self._whole(text))
-                continue
-            units, head = self._units(text), b""
-            if lead:
-                head = self._whole(units[0])
-                del units[0]
-            got = list(map(get, units))
-            if None in got:
-                missing.update(u for u, g in zip(units, got) if g is None)
-                todo.append((i, units, head))
-                out.append(None)
             else:
-                out.append(head + b"".join(got))
-        if todo:
-            new = self._learn(missing)
-            self.cache.update((u, ids) for u, ids in new.items() if len(u) <= CACHE_CHARS)
-            for i, units, head in todo:
-                out[i] = head + b"".join([new[u] if u in new else self.cache[u] for u in units])
+                head, *units = text.split(" ")
+                out.append(self.heads[head] + b"".join(map(known, units)))
         return out
 
 
