@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismcat.functions.exprs import is_within
-
 TOLERANCE_S = 2.0
 
 
@@ -32,10 +30,17 @@ def moves(existing: DataFrame, listing: DataFrame, tolerance: float = TOLERANCE_
 
 
 def gone(existing: DataFrame, listing: DataFrame, moved: DataFrame, suppressed: DataFrame) -> DataFrame:
-    """Instances neither listed nor moved nor below a suppressed folder (a short list, broadcast)."""
+    """Instances neither listed nor moved nor below a suppressed folder.
+
+    Folders may be any number: a path and each folder above it are looked up by equality, as ``is_within`` would find them.
+    """
     left = existing.join(listing, ["root_id", "path"], "left_anti").join(moved, "fid", "left_anti")
-    under = is_within(F.col("path"), F.col("dir")) & (left["root_id"] == F.col("sup_root"))
-    return left.join(F.broadcast(suppressed.limit(10_000).select(F.col("root_id").alias("sup_root"), "dir")), under, "left_anti")
+    folders = suppressed.select("root_id", F.regexp_replace("dir", "/+$", "").alias("_dir")).distinct()
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    paths = left.select("root_id", "path").where("root_id IS NOT NULL AND path IS NOT NULL").distinct()
+    hidden = paths.withColumn("_dir", F.explode(above)).join(folders, ["root_id", "_dir"], "left_semi").select("root_id", "path").distinct()
+    return left.join(hidden, ["root_id", "path"], "left_anti")
 
 
 def orphans(assets: DataFrame, instances: DataFrame, removed: DataFrame) -> DataFrame:

@@ -142,6 +142,19 @@ def test_moves_and_vetoes(spark):
     assert sorted(r.fid for r in reconcile.gone(existing, listing, moved, suppressed).collect()) == ["f3", "f4", "f5", "f6"]
 
 
+def test_many_suppressed_folders(spark):
+    n = 12_000
+    odd = [("a", 1, "/r"), ("b", 1, "/r/"), ("c", 2, "/r/d7/x"), ("d", 1, "/r/d7x/a"), ("e", 1, "/r/d7"), ("f", 1, "/r//d7/a"), ("g", None, "/r/d7/a"), ("h", 1, None), ("i", 3, "q"), ("j", 3, "/q")]
+    schema = "fid string, root_id int, path string"
+    existing = spark.range(n).selectExpr("concat('n', id) AS fid", "1 AS root_id", "concat('/r/d', id, '/s/f.jpg') AS path").unionByName(spark.createDataFrame(odd, schema))
+    none = spark.createDataFrame([], schema)
+    folders = spark.range(n).selectExpr("1 AS root_id", "concat('/r/d', id, IF(id % 2 = 0, '//', '')) AS dir").unionByName(spark.createDataFrame([(3, "/"), (None, "/r"), (2, None)], "root_id int, dir string"))
+    left = reconcile.gone(existing, none.select("root_id", "path"), none.select("fid"), folders)
+    assert sorted(r.fid for r in left.collect()) == ["a", "b", "c", "d", "f", "g", "h", "i"]
+    want = existing.where("fid NOT LIKE 'n%'").join(folders.selectExpr("root_id AS r", "dir"), (F.col("root_id") == F.col("r")) & X.is_within(F.col("path"), F.col("dir")), "left_anti")
+    assert sorted(r.fid for r in want.collect()) == ["a", "b", "c", "d", "f", "g", "h", "i"]
+
+
 def test_globs(spark):
     rels = ["a.tmp", "x/a.tmp", "cache/a.jpg", "x/cache/a.jpg", "top/a.jpg", "x/top/a.jpg", "x/b1.jpg", "x/Thumbs.db", "deep/q/r/z.jpg"]
     df = spark.createDataFrame([(r,) for r in rels], "rel string")
