@@ -6,15 +6,17 @@ own learning rate, and its L1 term keeps all but a few thousand weights at zero,
 so the model is small enough to broadcast: ``2 ** BITS`` floats at most.
 
 Weights are fitted on at most about ``TRAIN_ROWS`` labelled rows, chosen by a
-hash of doc_id; their features, not their texts, meet in one task.  Every text
-is scored whole.  A null or empty text has the bias alone.  Labels that are
+hash of doc_id; all their features, not their texts, meet in one task, which
+spills them to a file and reads them back row by row.  Every text is scored
+whole.  A null or empty text has the bias alone.  Labels that are
 null or repeated with both values for a document are left out.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,8 +28,8 @@ from prismcat.llm._arrow import by_place, byte_texts, columns, place, slices
 from prismcat.plans.ship import ship
 
 BITS = 20
-#: Documented bound on the rows that the weights are fitted on, and on what one of them brings.
-TRAIN_ROWS, TRAIN_FEATURES = 12_000, 20_000
+#: Documented bound on the rows that the weights are fitted on.
+TRAIN_ROWS = 12_000
 #: FTRL-proximal: rate, its smoothing, L1, L2, passes.
 ALPHA, BETA, L1, L2, PASSES = 2.0, 1.0, 6.0, 0.0, 8
 #: Hashes of words that a worker keeps.
@@ -68,12 +70,23 @@ def features(text: bytes) -> np.ndarray:
     return np.unique((x * odd) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Weights (the last is the bias) from feature lists and labels, rows in the given order."""
+class Spilled:
+    """Feature lists in an open file, read one at a time; ``places`` has each one's offset and size in bytes."""
+
+    def __init__(self, file, places: list[tuple[int, int]]):
+        self.file, self.places = file, places
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        for at, size in self.places:
+            self.file.seek(at)
+            yield np.frombuffer(self.file.read(size), dtype=np.int32)
+
+
+def fit(rows: Iterable[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Weights (the last is the bias) from feature lists and labels, rows in the given order, once a pass."""
     z = np.zeros((1 << BITS) + 1)
     n = np.zeros((1 << BITS) + 1)
     bias = np.array([1 << BITS])
-    lists = [np.concatenate([r, bias]) for r in rows]
 
     def weights(at) -> np.ndarray:
         za, out = z[at], np.sign(z[at]) * L1 - z[at]
@@ -81,7 +94,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
         return np.where(np.abs(za) <= L1, 0.0, out)
 
     for _ in range(PASSES):
-        for x, y in zip(lists, labels):
+        for row, y in zip(rows, labels):
+            x = np.concatenate([row, bias])
             w = weights(x)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
             if abs(g) < 1e-3:
@@ -112,15 +126,19 @@ def train(docs: DataFrame, labels: DataFrame, allowed=None) -> np.ndarray:
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [features(t)[:TRAIN_FEATURES].tobytes() for t in byte_texts(batch, "text")]
+            found = [features(t).tobytes() for t in byte_texts(batch, "text")]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "x": pa.array(found, pa.binary())})
 
     rows = texts.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(listed, "doc_id long, toxic int, x binary")
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "x")))]
-        got.sort(key=lambda r: ((r[0] * 0x9E3779B97F4A7C15) % (1 << 64), r[0]))
-        w = fit([np.frombuffer(r[2], dtype=np.int32) for r in got], np.array([r[1] for r in got], dtype=float))
+        with tempfile.TemporaryFile() as file:
+            got = []
+            for b in batches:
+                for doc, toxic, x in zip(*(b.column(c) for c in ("doc_id", "toxic", "x"))):
+                    got.append((doc.as_py(), toxic.as_py(), file.tell(), file.write(x.as_buffer())))
+            got.sort(key=lambda r: ((r[0] * 0x9E3779B97F4A7C15) % (1 << 64), r[0]))
+            w = fit(Spilled(file, [r[2:] for r in got]), np.array([r[1] for r in got], dtype=float))
         at = np.flatnonzero(w)
         yield pa.record_batch({"i": pa.array(at.astype(np.int32)), "w": pa.array(w[at])})
 

@@ -497,6 +497,20 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(d for d, r in got.items() if d is not None and not r.predicted)
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    rnd = random.Random(3)
+    words = lambda: " ".join(f"w{rnd.getrandbits(40)}" for _ in range(9000))
+    bad, good = words(), words()
+    rows = [(k, f"{bad if k % 2 else good} n{k}", None) for k in range(60)]
+    marks = spark.createDataFrame([(k, k % 2) for k, _, _ in rows], "doc_id long, toxic int")
+    got = toxicity.train(frame(spark, rows), marks)
+    order = sorted(rows, key=lambda r: (r[0] * 0x9E3779B97F4A7C15 % 2**64, r[0]))
+    lists = [toxicity.features(t.encode()) for _, t, _ in order]
+    assert all(len(x) > 25_000 for x in lists)
+    assert np.array_equal(got, toxicity.fit(lists, np.array([float(d % 2) for d, _, _ in order])).astype(np.float32))
+    assert (got[toxicity.features(bad.encode())[-1000:]] != 0).mean() > 0.9
+
+
 # --- empty tables, pipeline --------------------------------------------------------------------------------------
 
 
