@@ -8,11 +8,14 @@ such pair of points shares a cell among the points themselves and their
 neighbours one step away: each distinct fingerprint goes to its own cell and
 its 2 * SEGMENTS neighbour cells, and cells are the key of the range join.
 
-Within a cell, fingerprints are compared block by block, and only the edges
-that join parts not yet joined are kept, so a cell of n fingerprints gives
-n - 1 edges at most, never all pairs.  Copies share a fingerprint and meet only
-in partial aggregates.  The edges' components come from the library's own
-distributed operator.
+Cells are sorted and streamed; a cell's fingerprints are split by runs of equal
+bits until few are left to compare, and only the edges that join parts not yet
+joined are kept, so a cell of n fingerprints gives n - 1 edges at most, never
+all pairs.  Copies share a fingerprint and meet only in partial aggregates.  The
+edges' components come from the library's own distributed operator.
+
+Documents that share most of their shingles, but whose fingerprints of 64 bits
+differ in more than two, are the business of ``simhash_wide``.
 
 Texts without words (null and empty ones too) have fingerprint zero and are
 linked like any other.  A null doc_id never names a component unless the whole
@@ -30,15 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismcat.llm._arrow import byte_texts, columns, slices
-from prismcat.llm._rows import keep_rows, text_key
+from prismcat.llm._rows import text_key
 from prismcat.operators.cluster import connected_components
 from prismcat.plans.scratch import Scratch
 
 SEED = 42
 #: Words in a shingle, and segments of the 64 bits.
 WORDS, SEGMENTS = 3, 16
-#: Cells larger than this many fingerprints are compared by shared one-bit neighbours instead of block by block.
-BLOCKWISE = 4096
+#: Fingerprints that are compared all with all at once.
+AT_ONCE = 256
 
 
 def _counts(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -58,8 +61,8 @@ def _counts(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out.reshape(-1, 64)
 
 
-def fingerprints(texts: list[bytes], words: int = WORDS) -> np.ndarray:
-    """Unsigned 64-bit fingerprints of whole texts."""
+def shingle_hashes(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of the shingles of all texts, repeats included, one text after the other, and how many each has."""
     import xxhash
 
     digests, sizes = [], []
@@ -72,17 +75,24 @@ def fingerprints(texts: list[bytes], words: int = WORDS) -> np.ndarray:
         got = list(map(xxhash.xxh64_digest, shingles, repeat(SEED)))
         sizes.append(len(got))
         digests.append(b"".join(got))
-    out = np.zeros(len(texts), dtype=np.uint64)
-    sizes = np.array(sizes, dtype=np.int64)
+    return np.frombuffer(b"".join(digests), dtype=">u8").astype(np.uint64), np.array(sizes, dtype=np.int64)
+
+
+def majority(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The 64 bits that are set in over half of each run of hashes; zero for an empty run."""
+    out = np.zeros(len(sizes), dtype=np.uint64)
     full = np.flatnonzero(sizes)
     if len(full):
-        h = np.frombuffer(b"".join(digests), dtype=">u8").astype(np.uint64)
-        starts = (np.cumsum(sizes) - sizes)[full]
-        bits = 2 * _counts(h, starts) > sizes[full, None]
+        bits = 2 * _counts(h, (np.cumsum(sizes) - sizes)[full]) > sizes[full, None]
         out[full] = np.packbits(bits, axis=1, bitorder="little").view("<u8").reshape(-1)
     return out
 
 
+def fingerprints(texts: list[bytes], words: int = WORDS) -> np.ndarray:
+    """Unsigned 64-bit fingerprints of whole texts."""
+    return majority(*shingle_hashes(texts, words))
+
+
 def fingerprinted(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Per row of ``docs``: doc_id, text_key, fp (the fingerprint's bits as a long)."""
 
@@ -138,28 +148,34 @@ class _Parts:
 
 
 def link(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the graph that joins distinct fingerprints at ``distance`` bits or fewer."""
-    n, parts, edges = len(fp), _Parts(len(fp)), []
-    if n <= BLOCKWISE or distance < 2:
-        points = embed(fp).astype(np.int8)
-        step = max(1, 1_000_000 // max(1, n))
-        for a in range(0, n, step):
-            near = np.bitwise_count(fp[a : a + step, None] ^ fp[None, a:]) <= distance
-            i, j = np.nonzero(np.triu(near, 1))
-            # the lower bound holds for every pair that is kept
-            assert not len(i) or (np.abs(points[a + i] - points[a + j]).sum(axis=1) <= distance).all()
-            for x, y in zip((a + i).tolist(), (a + j).tolist()):
-                if parts.join(x, y):
-                    edges.append((x, y))
-        return edges
-    # two fingerprints at 2 bits or fewer share a value among themselves and their one-bit neighbours
-    around = np.concatenate([fp[:, None], fp[:, None] ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))], axis=1)
-    order = np.argsort(around.reshape(-1), kind="stable")
-    value, owner = around.reshape(-1)[order], order // 65
-    for k in np.flatnonzero(value[1:] == value[:-1]).tolist():
-        x, y = int(owner[k]), int(owner[k + 1])
-        if x != y and parts.join(x, y):
-            edges.append((x, y))
+    """A spanning forest of the graph that joins distinct fingerprints at ``distance`` bits or fewer.
+
+    The free bits are cut into ``distance`` + 1 runs; near fingerprints agree in one run at least, so those that agree
+    are looked at again with that run's bits no longer free, until a set is small enough to be compared at once or has
+    so few free bits that all of it is near.  Memory is a few numbers per fingerprint.
+    """
+    parts, edges = _Parts(len(fp)), []
+
+    def join(x: np.ndarray, y: np.ndarray) -> None:
+        for i, j in zip(x.tolist(), y.tolist()):
+            if parts.join(i, j):
+                edges.append((i, j))
+
+    todo = [(np.arange(len(fp)), tuple(range(64)))]
+    while todo:
+        at, free = todo.pop()
+        if len(free) <= distance:
+            join(at[:-1], at[1:])
+        elif len(at) <= AT_ONCE:
+            i, j = np.nonzero(np.triu(np.bitwise_count(fp[at, None] ^ fp[None, at]) <= distance, 1))
+            join(at[i], at[j])
+        elif len({parts.root(x) for x in at.tolist()}) > 1:
+            for run in np.array_split(np.array(free), distance + 1):
+                value = fp[at] & np.bitwise_or.reduce(np.uint64(1) << run.astype(np.uint64))
+                order = np.argsort(value, kind="stable")
+                cuts = np.flatnonzero(np.diff(value[order])) + 1
+                rest = tuple(sorted(set(free) - set(run.tolist())))
+                todo += [(at[g], rest) for g in np.split(order, cuts) if len(g) > 1]
     return edges
 
 
@@ -176,29 +192,45 @@ def edges(distinct: DataFrame, distance: int = 2) -> DataFrame:
                 idx, cell = _cells(embed(part.view(np.uint64)))
                 yield pa.record_batch({"cell": pa.array(cell), "fp": pa.array(part[idx])})
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column("cell").to_numpy(), b.column("fp").to_numpy()) for b in batches]
-        if not held:
-            return
-        cell, fp = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((fp, cell))
-        cell, fp = cell[order], fp[order]
+    def settled(cell: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         cuts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
         sizes = np.diff(np.append(cuts, len(cell)))
-        found: set[tuple[int, int]] = set()
         # most cells with company have two fingerprints: those at once
         two = cuts[sizes == 2]
         near = two[np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= distance]
-        found.update(zip(fp[near].tolist(), fp[near + 1].tolist()))
+        found = [(fp[near], fp[near + 1])]
         for a, n in zip(cuts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
             part = fp[a : a + n]
-            found.update((int(part[x]), int(part[y])) for x, y in link(part.view(np.uint64), distance))
-        if found:
-            x, y = zip(*sorted(found))
-            yield pa.record_batch({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
+            if joined := link(part.view(np.uint64), distance):
+                x, y = np.array(joined).T
+                found.append((part[x], part[y]))
+        x, y = (np.concatenate(z) for z in zip(*found))
+        if len(x):
+            yield pa.record_batch({"a": pa.array(x), "b": pa.array(y)})
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, fp in runs((b.column("cell").to_numpy(), b.column("fp").to_numpy()) for b in batches):
+            yield from settled(cell, fp)
 
     placed = distinct.select("fp").mapInArrow(spread, "cell long, fp long")
-    return placed.repartition("cell").mapInArrow(compare, "a long, b long")
+    return placed.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(compare, "a long, b long")
+
+
+def runs(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Column arrays sorted by the first one, cut anew so that no run of equal keys is torn; one open run is held."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for cols in parts:
+        if not len(cols[0]):
+            continue
+        if held and cols[0][-1] == held[0][0][-1]:
+            held.append(cols)
+            continue
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        if held or cut:
+            yield tuple(np.concatenate(c) for c in zip(*held, tuple(c[:cut] for c in cols)))
+        held = [tuple(c[cut:] for c in cols)]
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held))
 
 
 def components(docs: DataFrame, distance: int = 2, words: int = WORDS) -> DataFrame:
@@ -222,12 +254,6 @@ def components(docs: DataFrame, distance: int = 2, words: int = WORDS) -> DataFr
     )
 
 
-def near_dedup(docs: DataFrame, distance: int = 2, words: int = WORDS) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each component (the smallest doc_id), with all their columns."""
-    decided = components(docs, distance, words).select("doc_id", "text_key", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    return keep_rows(docs, Scratch(docs.sparkSession, "simhash").write(decided, "decisions"))
-
-
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     """Contract query: fingerprint and component of every row of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
