@@ -3,18 +3,20 @@
 The score of two vectors is their inner product, (|q|^2 + |x|^2 - d(q,x)^2) / 2.
 The distances of all vectors to many pivots are computed once and written; by
 the triangle inequality the largest difference of two rows of that table is a
-lower bound of d, so it bounds the score from above.  Candidates are evaluated
-in the order of their bounds, and a query stops as soon as its k-th score beats
-every bound that is left.  The bounds only save work; the result is exact.
+lower bound of d, so it bounds the score from above.  Each query takes the
+candidates in the order of its own bounds and stops as soon as its k-th score
+beats every bound that is left.  The bounds only save work; the result is exact.
 
 Queries are a stated part of the rows; they go in blocks of at most about
-``QUERY_BLOCK``, each broadcast once against all candidates.
+``QUERY_BLOCK`` rows, each broadcast once against all candidates.
 
 Vectors that are null or hold null or non-finite components take no part, nor
 do rows without vec_id.  Shorter vectors count as padded with zeros.  Rows that
 share a query's vec_id are the query's own; a repeated query id stands for its
-smallest vector.  Equal scores go to the smaller vec_id.  Extra columns are
-ignored; an empty table gives no rows.
+smallest vector.  Equal scores go to the smaller vec_id.  Where components are
+so large that doubles can't hold the products, all are evaluated as whole numbers
+of any size; ranks are exact, and a score beyond 64 bits is given as the nearest
+one of 64 bits.  Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,13 +32,14 @@ from prismcat.llm._arrow import columns
 from prismcat.plans.scratch import Scratch
 
 K, SCALE, EVERY = 5, 256.0, 50
-PIVOTS = 64
-#: Queries broadcast at once, vectors in a row of the pivot table, candidates evaluated at once.
-QUERY_BLOCK, TABLE_BLOCK, STEP = 4096, 2048, 512
+#: Pivots, and the bounded sample of rows that they are picked from, each farthest from those before.
+PIVOTS, PIVOT_SAMPLE = 64, 4096
+#: Queries broadcast at once, vectors in a row of the pivot table, candidates that a query takes at once.
+QUERY_BLOCK, TABLE_BLOCK, STEP = 1024, 2048, 128
 
 
 def vectors(embeddings: DataFrame, scale: float = SCALE) -> DataFrame:
-    """Usable rows as vec_id, dim and x (little-endian doubles that are integers)."""
+    """Usable rows as vec_id, dim, most (the largest component by amount) and x (little-endian doubles that are integers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,11 +52,16 @@ def vectors(embeddings: DataFrame, scale: float = SCALE) -> DataFrame:
                     ids.append(vid)
                     out.append(np.floor(scale * x))
             yield pa.record_batch(
-                {"vec_id": pa.array(ids, pa.int64()), "dim": pa.array([len(x) for x in out], pa.int32()), "x": pa.array([x.astype("<f8").tobytes() for x in out], pa.binary())}
+                {
+                    "vec_id": pa.array(ids, pa.int64()),
+                    "dim": pa.array([len(x) for x in out], pa.int32()),
+                    "most": pa.array([float(np.abs(x).max(initial=0)) for x in out], pa.float64()),
+                    "x": pa.array([x.astype("<f8").tobytes() for x in out], pa.binary()),
+                }
             )
 
     rows = columns(embeddings, "vec_id", "embedding").withColumn("vec_id", F.col("vec_id").cast("long"))
-    return rows.mapInArrow(run, "vec_id long, dim int, x binary")
+    return rows.mapInArrow(run, "vec_id long, dim int, most double, x binary")
 
 
 def _matrix(parts: list[bytes], dim: int) -> np.ndarray:
@@ -65,12 +73,22 @@ def _matrix(parts: list[bytes], dim: int) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer rows."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if most < 2**53:
-        return (a @ b.T).astype(np.int64)
-    exact = np.array([[int(x) for x in r] for r in a], dtype=object).reshape(a.shape) @ np.array([[int(x) for x in r] for r in b], dtype=object).reshape(b.shape).T
-    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
+    """Inner products of integer rows, exact below 2 ** 53."""
+    return (a @ b.T).astype(np.int64)
+
+
+def _wide_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of integer rows of any size, as Python integers."""
+    whole = lambda x: np.array([[int(v) for v in r] for r in x], dtype=object).reshape(x.shape)
+    return whole(a) @ whole(b).T
+
+
+#: Bytes of a sortable score: products of doubles stay below 2 ** 2111 for fewer than 2 ** 40 components.
+_WIDTH = 272
+
+
+def _sortable(score: int) -> bytes:
+    return (score + (1 << (8 * _WIDTH - 1))).to_bytes(_WIDTH, "big")
 
 
 def _distances(a: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -102,26 +120,34 @@ def best(scores, limits, ids, k: int):
     return q[keep], s[keep], i[keep], nth[keep]
 
 
-def search_block(qid: np.ndarray, qx: np.ndarray, qfar: np.ndarray, floor: np.ndarray, ids: np.ndarray, x: np.ndarray, far: np.ndarray, held, k: int):
-    """Improve ``held`` (query position, score, id) and ``floor`` (k-th score, or less) by a block of candidates."""
+def search_block(qid: np.ndarray, qx: np.ndarray, qfar: np.ndarray, floor: np.ndarray, ids: np.ndarray, x: np.ndarray, far: np.ndarray, held, k: int, seen: list | None = None):
+    """Improve ``held`` (query position, score, id) and ``floor`` (k-th score, or less) by a block of candidates.
+
+    Each query takes the candidates in the order of its own bounds, ``STEP`` at a time, and stops at the first bound
+    below its floor.  ``seen``, if given, gets the number of pairs evaluated.
+    """
     bound = np.zeros((len(qid), len(ids)))
     for p in range(far.shape[1]):
         np.maximum(bound, np.abs(qfar[:, p, None] - far[None, :, p]), out=bound)
     # half a unit covers the rounding of the distances
     bound = ((qx * qx).sum(1)[:, None] + (x * x).sum(1)[None] - bound * bound) / 2 * (1 + 1e-12) + 0.5
-    order = np.argsort(-bound.max(axis=0), kind="stable")
-    bound = bound[:, order]
-    rest = np.maximum.accumulate(bound[:, ::-1], axis=1)[:, ::-1]
-    ids, x = ids[order], x[order]
+    active = np.flatnonzero(bound.max(axis=1, initial=-np.inf) >= floor)
+    order = np.argsort(-bound[active], axis=1, kind="stable")
     for at in range(0, len(ids), STEP):
-        active = np.flatnonzero(rest[:, at] >= floor)
+        open_ = bound[active, order[:, at]] >= floor[active]
+        active, order = active[open_], order[open_]
         if not len(active):
             break
-        part = slice(at, at + STEP)
-        got = _products(qx[active], x[part])
-        a, c = np.nonzero((got >= floor[active, None]) & (ids[None, part] != qid[active, None]))
+        part = order[:, at : at + STEP]
+        worth = np.take_along_axis(bound[active], part, axis=1) >= floor[active, None]
+        if seen is not None:
+            seen.append(int(worth.sum()))
+        # the union of what the queries ask for now, multiplied at once
+        some, back = np.unique(part, return_inverse=True)
+        got = np.take_along_axis(_products(qx[active], x[some]), back.reshape(part.shape), axis=1)
+        a, c = np.nonzero(worth & (got >= floor[active, None]) & (ids[part] != qid[active, None]))
         if len(a):
-            new = (active[a], got[a, c], ids[part][c])
+            new = (active[a], got[a, c], ids[part[a, c]])
             q, s, i, nth = best(*(np.concatenate(z) for z in zip(held, new)), k)
             held = (q, s, i)
             last = nth == k - 1
@@ -129,24 +155,39 @@ def search_block(qid: np.ndarray, qx: np.ndarray, qfar: np.ndarray, floor: np.nd
     return held
 
 
+def farthest(x: np.ndarray, n: int) -> np.ndarray:
+    """Positions of ``n`` rows, each farthest from those before."""
+    picks = [int(np.argmax((x * x).sum(1)))] if len(x) else []
+    near = _distances(x, x[picks]).min(axis=1) if picks else None
+    while len(picks) < min(n, len(x)):
+        picks.append(int(np.argmax(near)))
+        near = np.minimum(near, _distances(x, x[picks[-1:]])[:, 0])
+    return np.array(picks, dtype=np.int64)
+
+
 def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY, scale: float = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose vec_id is divisible by ``every``."""
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "topk")
     rows = scratch.write(vectors(embeddings, scale), "vectors")
-    dim = rows.agg(F.max("dim")).first()[0] or 0
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(PIVOTS).collect()
-    pivots = _matrix([r.x for r in chosen], dim)
-    pivot_ids = np.array([r.vec_id for r in chosen], dtype=np.int64)
+    dim, most = rows.agg(F.max("dim"), F.max("most")).first()
+    dim, exact = dim or 0, (most or 0.0) * (most or 0.0) * (dim or 0) < 2**53
+    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(PIVOT_SAMPLE).collect()
+    drawn = _matrix([r.x for r in chosen], dim)
+    picks = farthest(drawn, PIVOTS) if exact else np.zeros(0, dtype=np.int64)
+    pivots, pivot_ids = drawn[picks], np.array([r.vec_id for r in chosen], dtype=np.int64)[picks]
     table = scratch.write(pivot_table(rows, pivots), "table")
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    kinds = "query_id long, vec_id long, score long"
+    kinds = "query_id long, vec_id long, score long" if exact else "query_id long, vec_id long, score binary"
     results = []
     for b in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)) == b).collect()
         qid = np.array([r.vec_id for r in block], dtype=np.int64)
         qx = _matrix([r.x for r in block], dim)
+        if not exact:
+            results.append(_exhaustive(table, qid, qx, k))
+            continue
         # pivots are candidates too: their scores are a first limit
         seeds = np.where(pivot_ids[None] != qid[:, None], _products(qx, pivots), np.iinfo(np.int64).min)
         seeds.sort(axis=1)
@@ -170,7 +211,32 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY, scale: float =
     for more in results[1:]:
         found = found.unionByName(more)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out if exact else out.mapInArrow(_clipped, "query_id long, rank int, vec_id long, score long")
+
+
+def _exhaustive(table: DataFrame, qid: np.ndarray, qx: np.ndarray, k: int) -> DataFrame:
+    """The k best of each task by sortable scores, for components so large that bounds and products in doubles are not exact."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[] for _ in qid]
+        for batch in batches:
+            for ids, x in zip(*(batch.column(c).to_pylist() for c in ("ids", "x"))):
+                ids = np.frombuffer(ids, dtype="<i8")
+                x = np.frombuffer(x, dtype="<f8").reshape(len(ids), -1)
+                for q, scores in enumerate(_wide_products(qx, x)):
+                    new = [(-s, i) for s, i in zip(scores.tolist(), ids.tolist()) if i != qid[q]]
+                    held[q] = sorted(held[q] + new)[:k]
+        rows = [(int(qid[q]), i, _sortable(-s)) for q, best_ in enumerate(held) for s, i in best_]
+        yield pa.record_batch([pa.array([r[n] for r in rows], t) for n, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["query_id", "vec_id", "score"])
+
+    return table.mapInArrow(run, "query_id long, vec_id long, score binary")
+
+
+def _clipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        whole = [int.from_bytes(s, "big") - (1 << (8 * _WIDTH - 1)) for s in batch.column("score").to_pylist()]
+        yield batch.set_column(3, "score", pa.array([min(max(s, -(2**63)), 2**63 - 1) for s in whole], pa.int64()))
 
 
 def op6_top_k(spark, sf_dir: str) -> DataFrame:
