@@ -10,10 +10,13 @@ distribution over texts.
 
 Texts are packed into blocks with their own vocabularies; word counts are
 summed over all blocks and each block gets the counts of its own words back, so
-no vocabulary is ever broadcast.  Baum-Welch starts from clusters of a bounded
-sample of documents (``START_TOKENS``) and then makes ``PASSES`` passes over all
-training tokens: expected counts are summed over all partitions, one row per
-class.  Scores come from the scaled forward recursion over whole texts.
+no vocabulary is ever broadcast.  Baum-Welch makes passes over all training
+tokens until the likelihood gains less than ``LEAST_GAIN`` a token, ``PASSES`` at
+most: expected counts are summed over all partitions, one row per class.  What
+it starts from, and nothing else, comes from a bounded sample (``START_TOKENS``):
+clusters of stretches of texts, taken from blocks all over the corpus, and states
+left without a cluster differ by a hash of the class, so no two states are ever
+alike.  Scores come from the scaled forward recursion over whole texts.
 
 Null and empty texts are an end alone.  Rows without doc_id are trained on.
 Repeated rows count as often as they occur.  Extra columns are ignored; an
@@ -36,8 +39,10 @@ from prismcat.llm._arrow import byte_texts, columns, slices
 from prismcat.plans.scratch import Scratch
 
 STATES, FREQUENT, ENDINGS, SUFFIX = 8, 4096, 2048, 3
-#: Full passes of Baum-Welch, and tokens and steps of the sample that it starts from.
-PASSES, START_TOKENS, START_STEPS = 2, 300_000, 12
+#: Full passes of Baum-Welch at most, and the gain in log10 likelihood a token below which they end.
+PASSES, LEAST_GAIN = 6, 0.002
+#: The sample that the passes start from: tokens, tokens of one stretch at most, blocks that give some, steps on it.
+START_TOKENS, STRETCH, START_BLOCKS, START_STEPS = 300_000, 1000, 64, 12
 #: Tokens in a block; a text is never split.
 BLOCK = 3_000_000
 #: Share added to every count of a token, and weight of the overall class frequencies in a state's.
@@ -135,8 +140,8 @@ class Model:
         out[order] = total
         return out
 
-    def expected(self, seen: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected starts, moves and emissions of the texts, by forward and backward recursion."""
+    def expected(self, seen: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected starts, moves and emissions of the texts, by forward and backward recursion, and their log10 likelihood."""
         k = len(self.start)
         order, running = self.layout(sizes)
         at = (np.cumsum(sizes) - sizes)[order]
@@ -169,7 +174,7 @@ class Model:
             now *= back  # alpha becomes the states' probabilities
         emits = np.stack([np.bincount(symbol, weights=alpha[:, s], minlength=len(self.emit)) for s in range(k)], axis=1)
         n = int(running[0]) if len(running) else 0
-        return alpha[:n].sum(axis=0, dtype=np.float64), moves * self.move, emits
+        return alpha[:n].sum(axis=0, dtype=np.float64), moves * self.move, emits, float(np.log10(scale, dtype=np.float64).sum())
 
     @classmethod
     def from_counts(cls, starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, share: np.ndarray) -> Model:
@@ -179,11 +184,20 @@ class Model:
         return cls(starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
 
 
+def unlike(classes: int, states: int) -> np.ndarray:
+    """A factor between a half and one and a half for each class and state, the same in every run."""
+    at = np.arange(classes, dtype=np.uint64)[:, None] * np.uint64(states) + np.arange(states, dtype=np.uint64)
+    h = (at + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return 0.5 + (h >> np.uint64(40)).astype(float) / (1 << 24)
+
+
 def first_model(texts: list[np.ndarray], share: np.ndarray, states: int = STATES, steps: int = START_STEPS) -> Model:
-    """A model from a sample of class sequences: clusters of texts, then Baum-Welch on the sample."""
+    """A model from a sample of class sequences: clusters of them, then Baum-Welch on the sample; no two states are alike."""
     size = len(share)
+    emits = share[:, None] * 50 * unlike(size, states)
     if not texts:
-        return Model.from_counts(np.ones(states), np.eye(states) * 9 + 0.1, np.tile(share[:, None], (1, states)), share)
+        return Model.from_counts(np.ones(states), np.eye(states) * 9 + 0.1, emits, share)
     bags = np.stack([np.bincount(t, minlength=size) for t in texts]).astype(np.float32)
     unit = np.sqrt(bags)
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
@@ -196,14 +210,28 @@ def first_model(texts: list[np.ndarray], share: np.ndarray, states: int = STATES
         own = np.argmax(unit @ centres.T, axis=1)
         centres = np.stack([unit[own == c].sum(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
         centres /= np.linalg.norm(centres, axis=1, keepdims=True)
-    emits = np.tile(share[:, None] * 50, (1, states))
     for c in range(len(centres)):
         emits[:, c] += bags[own == c].sum(axis=0)
     model = Model.from_counts(np.ones(states), np.eye(states) * 9 + 0.1, emits, share)
     seen, sizes = np.concatenate(texts), np.array([len(t) for t in texts])
     for _ in range(steps):
-        model = Model.from_counts(*model.expected(seen, sizes), share)
-    return model
+        model = Model.from_counts(*model.expected(seen, sizes)[:3], share)
+    # states that the sample could not tell apart stay apart
+    emit = model.emit * (0.9 + 0.1 * unlike(size, states))
+    return Model(model.start, model.move, emit / emit.sum(axis=0))
+
+
+def stretches(seen: np.ndarray, sizes: np.ndarray, tokens: int) -> list[np.ndarray]:
+    """About ``tokens`` tokens of a block: of each text, in a mixed order, at most STRETCH tokens from a mixed place on."""
+    ends, left, out = np.cumsum(sizes), tokens, []
+    for i in np.argsort((np.arange(len(sizes)) * 0x9E3779B1) % (1 << 32)).tolist():
+        if left <= 0:
+            break
+        n = int(min(sizes[i], STRETCH, left))
+        at = int(ends[i] - sizes[i]) + (i * 0x85EBCA6B) % int(sizes[i] - n + 1)
+        out.append(seen[at : at + n])
+        left -= n
+    return out
 
 
 def counted(made: DataFrame, total: int, scratch: Scratch) -> DataFrame:
@@ -278,43 +306,44 @@ def trained(rows: DataFrame, share: np.ndarray) -> Model:
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in batch.to_pylist():
-                seen, sizes = _training(block)
-                ends, left, out = np.cumsum(sizes), per_block, []
-                for i in np.argsort((np.arange(len(sizes)) * 0x9E3779B1) % (1 << 32)).tolist():
-                    if left < sizes[i]:
-                        break
-                    left -= sizes[i]
-                    out.append(seen[ends[i] - sizes[i] : ends[i]].astype("<u2").tobytes())
+                out = [t.astype("<u2").tobytes() for t in stretches(*_training(block), per_block)]
                 yield pa.record_batch({"text": pa.array(out, pa.binary())})
 
     inputs = rows.select("docs", "sizes", "seen")
     n_blocks = rows.count()
     # about START_TOKENS tokens at any size, from so many blocks and so many tokens of each
-    used = min(n_blocks, 64)
+    used = min(n_blocks, START_BLOCKS)
     per_block = START_TOKENS // max(1, used)
     few = rows.orderBy(F.xxhash64("block")).limit(used).select("block") if n_blocks > used else None
     taken = inputs if few is None else rows.join(F.broadcast(few), "block", "left_semi").select("docs", "sizes", "seen")
     got = sorted(bytes(r.text) for r in taken.mapInArrow(sample, "text binary").collect())
     model = first_model([np.frombuffer(t, dtype="<u2") for t in got], share)
     sums = ", ".join(f"s{s} double" for s in range(k))
+    before = None
     for _ in range(PASSES):
         sent = spark.sparkContext.broadcast(model)
 
         def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for block in batch.to_pylist():
-                    starts, moves, emits = sent.value.expected(*_training(block))
+                    starts, moves, emits, likelihood = sent.value.expected(*_training(block))
                     used = np.flatnonzero(emits.any(axis=1))
-                    at = np.concatenate([used, n_classes + np.arange(k), [n_classes + k]])
-                    values = np.concatenate([emits[used], moves, starts[None]])
+                    at = np.concatenate([used, n_classes + np.arange(k), [n_classes + k, n_classes + k + 1]])
+                    last = np.zeros((1, k))
+                    last[0, 0] = likelihood
+                    values = np.concatenate([emits[used], moves, starts[None], last])
                     cols = {"at": pa.array(at.astype(np.int32))} | {f"s{s}": pa.array(values[:, s]) for s in range(k)}
                     yield pa.record_batch(cols)
 
         found = inputs.mapInArrow(count, f"at int, {sums}").groupBy("at").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(k)])
-        full = np.zeros((n_classes + k + 1, k))
+        full = np.zeros((n_classes + k + 2, k))
         for r in found.collect():
             full[r[0]] = r[1:]
-        model = Model.from_counts(full[-1], full[n_classes : n_classes + k], full[:n_classes], share)
+        model = Model.from_counts(full[-2], full[n_classes : n_classes + k], full[:n_classes], share)
+        now = full[-1, 0] / max(1.0, full[:n_classes].sum())
+        if before is not None and now - before < LEAST_GAIN:
+            break
+        before = now
     return model
 
 
