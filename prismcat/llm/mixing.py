@@ -8,7 +8,10 @@ budgets are nested, and the same rows give the same mix.
 
 DataFrame functions only.  Null sources form a source of their own (last);
 null and empty texts have size 0; an empty table gives no rows.  Repeated rows
-share a hash and are taken or left together.
+share a hash and are taken or left together.  There may be any number of
+sources: their table is ranged, never ordered in one task, and it is broadcast
+only if Spark finds it small; else it meets the documents in a sort-merge join,
+whose hot sources adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -25,8 +28,6 @@ WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
 #: Buckets of a level as hexadecimal digits of the hash, and levels.
 DIGITS, LEVELS = 3, 3
-#: The table of sources is broadcast and ordered in one task; more sources than this are an error.
-MOST_SOURCES = 100_000
 
 
 def _hash(doc, text) -> F.Column:
@@ -44,32 +45,46 @@ def measured(docs: DataFrame) -> DataFrame:
     )
 
 
-def targets(sizes: DataFrame) -> DataFrame:
+def running(rows: DataFrame, keys: list, sums: dict[str, str], scratch: Scratch) -> DataFrame:
+    """``rows`` with running sums (the row itself left out) in the order of ``keys``, without one task for all rows.
+
+    ``sums``: new column -> column.  Rows are ranged by the keys; what the driver sees is one row per partition.
+    """
+    placed = scratch.write(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "ranged")
+    per = placed.groupBy("_part").agg(*[F.sum(c).cast("double").alias(n) for n, c in sums.items()]).orderBy("_part").collect()
+    before, upto = {}, [0.0] * len(sums)
+    for r in per:
+        before[r[0]] = upto
+        upto = [u + v for u, v in zip(upto, r[1:])]
+    parts = range(max(before, default=0) + 1)
+    within = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed
+    for k, (n, c) in enumerate(sums.items()):
+        offset = F.element_at(F.lit([before[p][k] if p in before else 0.0 for p in parts]), F.col("_part") + 1)
+        out = out.withColumn(n, offset + F.coalesce(F.sum(c).over(within).cast("double"), F.lit(0.0)))
+    return out.drop("_part")
+
+
+def targets(sizes: DataFrame, scratch: Scratch) -> DataFrame:
     """Per source: source, weight, source_size, target.
 
-    ``sizes``: (source, source_size).  A source whose share by weight exceeds
-    MOST times its size stops there and its excess goes to the others by weight;
-    in order of size by weight, those that stop come first, so running sums find
-    the level of the others: it falls from the first one that does not stop.  One row per source, so one task suffices.
+    ``sizes``: (source, source_size), any number of sources.  A source whose share by weight exceeds MOST times its
+    size stops there and its excess goes to the others by weight; in order of size by weight, those that stop come
+    first, so running sums find the level of the others: it falls from the first one that does not stop.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    n = len(WEIGHTS)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), ((F.row_number().over(order) - 1) % n + 1).cast("int"))
-    everything = Window.partitionBy()
-    rising = Window.orderBy("ratio", F.col("source").isNull(), "source")
-    before = rising.rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        sizes.withColumn("weight", weight)
-        .withColumn("most", F.col("source_size") * F.lit(MOST))
-        .withColumn("ratio", F.col("most") / F.col("weight"))
-        .withColumn("total", F.sum("source_size").over(everything) * F.lit(SHARE))
-        .withColumn("weights", F.sum("weight").over(everything))
-        .withColumn("level", (F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.col("weights") - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-        .withColumn("stops", F.col("ratio") <= F.col("level"))
-        .withColumn("final", F.max(F.when(~F.col("stops"), F.col("level"))).over(everything))
-        .withColumn("target", F.when(F.col("stops"), F.col("most")).otherwise(F.col("weight") * F.coalesce("final", F.lit(0.0))))
-        .select("source", "weight", "source_size", "target")
+    by_name = [F.col("source").isNull(), F.col("source")]
+    numbered = running(sizes.withColumn("one", F.lit(1)), by_name, {"nth": "one"}, scratch)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("nth").cast("long") % len(WEIGHTS) + 1).cast("int"))
+    weighed = numbered.withColumn("weight", weight).withColumn("most", F.col("source_size") * F.lit(MOST)).withColumn("ratio", F.col("most") / F.col("weight"))
+    weighed = scratch.write(weighed.select("source", "source_size", "weight", "most", "ratio"), "weighed")
+    every = weighed.agg(F.sum("source_size"), F.sum("weight")).first()
+    total, weights = float(every[0] or 0) * SHARE, float(every[1] or 0)
+    summed = running(weighed, [F.col("ratio"), *by_name], {"most_before": "most", "weight_before": "weight"}, scratch)
+    leveled = scratch.write(
+        summed.withColumn("level", (F.lit(total) - F.col("most_before")) / (F.lit(weights) - F.col("weight_before"))).withColumn("stops", F.col("ratio") <= F.col("level")), "leveled"
     )
+    final = leveled.agg(F.max(F.when(~F.col("stops"), F.col("level")))).first()[0] or 0.0
+    return leveled.select("source", "weight", "source_size", F.when(F.col("stops"), F.col("most")).otherwise(F.col("weight") * F.lit(float(final))).alias("target"))
 
 
 def thresholds(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -79,10 +94,8 @@ def thresholds(rows: DataFrame, scratch: Scratch) -> DataFrame:
     hash is below ``cutoff``.
     """
     sizes = scratch.write(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
-    if sizes.count() > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
     goal = scratch.write(
-        targets(sizes)
+        targets(sizes, scratch)
         .withColumn("base", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
         .withColumn("left", F.col("target") - F.col("base") * F.col("source_size"))
         .withColumn("cutoff", F.lit(0).cast("long")),
@@ -91,7 +104,7 @@ def thresholds(rows: DataFrame, scratch: Scratch) -> DataFrame:
     base = 16**DIGITS
     for level in range(LEVELS):
         width = base ** (LEVELS - 1 - level)  # hashes in a bucket of this level
-        here = rows.join(F.broadcast(goal.select(F.col("source").alias("s"), F.col("cutoff"))), F.col("source").eqNullSafe(F.col("s")))
+        here = rows.join(goal.select(F.col("source").alias("s"), F.col("cutoff")), F.col("source").eqNullSafe(F.col("s")))
         if level:
             here = here.where((F.col("h") >= F.col("cutoff")) & (F.col("h") < F.col("cutoff") + width * base))
         buckets = here.groupBy("source", F.floor(F.col("h") / width).cast("long").alias("bucket")).agg(F.sum("size").alias("n"))
@@ -101,7 +114,7 @@ def thresholds(rows: DataFrame, scratch: Scratch) -> DataFrame:
         # a bucket lies below the threshold if the budget covers it (at the last level: nearer with it than without)
         covered = F.col("upto") - (F.col("n") / 2 if last else F.lit(0.0)) <= F.col("left")
         step = (
-            sums.join(F.broadcast(goal.select(F.col("source").alias("s"), "left")), F.col("source").eqNullSafe(F.col("s")))
+            sums.join(goal.select(F.col("source").alias("s"), "left"), F.col("source").eqNullSafe(F.col("s")))
             .groupBy("source")
             .agg(
                 F.min(F.when(~covered, F.col("bucket"))).alias("at"),
@@ -127,7 +140,7 @@ def thresholds(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _copies(goal: DataFrame, rows: DataFrame) -> DataFrame:
     """``rows`` with source_size, target and ``copies``."""
-    per = F.broadcast(goal.select(F.col("source").alias("_s"), "source_size", "target", "base", "cutoff"))
+    per = goal.select(F.col("source").alias("_s"), "source_size", "target", "base", "cutoff")
     return rows.join(per, F.col("source").eqNullSafe(F.col("_s"))).withColumn(
         "copies", F.col("base") + F.when((F.col("h") < F.col("cutoff")) & (F.col("base") < int(MOST)), 1).otherwise(0)
     )
