@@ -15,10 +15,11 @@ some seventeen is handled.
    splitters come from a bounded sample of blocks.  A leading string that is
    hot in the sample goes window by window, to ranges by the window's hash, so
    equal windows still meet although no range holds the whole group.
-4. Each range sorts its strings by multikey quicksort, eight bytes at a time and
-   only where more than one string is left, and finds for every window whether
-   a smaller doc_id has it.  Ranges never cut through equal leading bytes, so a
-   comparison across their boundaries can find nothing more.
+4. Each range sorts its strings by multikey quicksort, eight bytes at a time,
+   and finds for every window whether a smaller doc_id has it.  A splitter is a
+   whole leading string, so strings on both sides of a boundary differ in their
+   leading bytes: a comparison across it could find nothing, and a test holds
+   that equal windows never meet a boundary.
 5. Blocks get one bit per window back and remove the bytes.
 
 A null doc_id is larger than any other; rows that share a doc_id don't make
@@ -43,7 +44,7 @@ from prismcat.llm._arrow import byte_texts, columns, slices
 from prismcat.plans.scratch import Scratch
 
 WINDOW, GRAM = 50, 16
-#: Bytes of text in a block; a text is never split.
+#: Bytes of text in a block; a longer text is a block of its own.
 BLOCK = 2 << 20
 #: Bytes that suffixes are taken from at once.
 PIECE = 64 << 10
@@ -51,6 +52,10 @@ PIECE = 64 << 10
 SAMPLE_BLOCKS, PER_PARTITION = 48, 4
 #: A leading string is hot with this share of a range's fair part, and so many strings in the sample.
 HOT_SHARE, HOT_LEAST = 0.25, 16
+#: Segments that a plain sort finishes.
+SMALL = 4096
+#: Suffixes that share the 32-bit keys of a bucket at most, about.
+PER_BUCKET = 1 << 28
 NO_DOC = np.iinfo(np.int64).max
 
 _POS = np.uint64((1 << 26) - 1)
@@ -100,14 +105,22 @@ _NONE = (np.zeros(0, dtype=np.uint64), *(np.zeros(0, dtype=np.int64) for _ in ra
 
 
 def suffixes(data: np.ndarray, sizes: np.ndarray):
-    """The same in pieces of whole texts small enough for a processor's cache."""
+    """The same in pieces small enough for a processor's cache: several whole texts, or part of a long one.
+
+    Parts of a long text overlap by a window less one byte, so each window lies in one part and none is lost.
+    """
     ends = np.cumsum(sizes)
-    found, a, byte = [], 0, 0
+    found, a = [], 0
     while a < len(sizes):
+        byte = int(ends[a] - sizes[a])
         b = max(a + 1, int(np.searchsorted(ends, byte + PIECE, side="right")))
-        h, pos, first, many, of = _suffixes(data[byte : int(ends[b - 1])], sizes[a:b])
-        found.append((h, pos + byte, first + byte, many, of + a))
-        a, byte = b, int(ends[b - 1])
+        stop = int(ends[b - 1])
+        for at in range(byte, stop, PIECE) if b == a + 1 else [byte]:
+            end = min(at + PIECE + WINDOW - 1, stop) if b == a + 1 else stop
+            own = np.array([end - at]) if b == a + 1 else sizes[a:b]
+            h, pos, first, many, of = _suffixes(data[at:end], own)
+            found.append((h, pos + at, first + at, many, of + a))
+        a = b
     return tuple(np.concatenate(x) for x in zip(*found)) if found else _NONE
 
 
@@ -115,8 +128,6 @@ class Block:
     """Texts of a block with their suffixes."""
 
     def __init__(self, row: dict):
-        if len(row["text"]) > int(_POS):
-            raise ValueError("a text is longer than 64 MiB")
         self.ids = row["docs"]
         self.docs = np.array([NO_DOC if d is None else d for d in self.ids], dtype=np.int64)
         self.sizes = np.frombuffer(row["sizes"], dtype="<u4").astype(np.int64)
@@ -181,26 +192,50 @@ def _words(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 
 def multikey(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multikey quicksort of the strings of ``length`` bytes at ``at``, eight bytes to a key.
+    """Multikey quicksort of the strings of ``length`` bytes at ``at``, eight bytes to a character.
 
-    Returns an order with equal strings together and each one's group number in it.
-    Groups of one string are not looked at again.
+    A segment whose strings agree in all characters before is cut in three by a pivot: those below and above it are
+    cut again by the same character, those equal to it by the next one.  Segments of up to SMALL strings are ordered by
+    one plain sort of the character, all at once.  Returns an order with equal strings together and each one's group
+    number in it, the place where the group begins.
     """
-    order = np.arange(len(at))
-    group = np.zeros(len(at), dtype=np.int64)
-    live = np.ones(len(at), dtype=bool)
+    order, group = np.arange(len(at)), np.zeros(len(at), dtype=np.int64)
+    todo = [(0, len(at), 0)] if len(at) else []
+    small: list[tuple[int, int, int]] = []
+    while todo:
+        lo, hi, k = todo.pop()
+        if k >= length or hi - lo == 1:
+            group[lo:hi] = lo
+            continue
+        if hi - lo <= SMALL:
+            small.append((lo, hi, k))
+            continue
+        part = order[lo:hi]
+        w = _words(data, at[part] + k, length - k)
+        pivot = np.sort(w[:: max(1, len(w) // 63)])[len(w[:: max(1, len(w) // 63)]) // 2]
+        below, above = w < pivot, w > pivot
+        n, m = int(below.sum()), int(above.sum())
+        order[lo:hi] = np.concatenate([part[below], part[~(below | above)], part[above]])
+        todo += [(x, y, z) for x, y, z in ((lo, lo + n, k), (lo + n, hi - m, k + 8), (hi - m, hi, k)) if x < y]
+    by: dict[int, list[tuple[int, int]]] = {}
+    for lo, hi, k in small:
+        by.setdefault(k, []).append((lo, hi))
     for k in range(0, length, 8):
-        part = np.flatnonzero(live)
-        if not len(part):
-            break
+        if not by.get(k):
+            continue
+        begin, end = (np.array(x) for x in zip(*by[k]))
+        size = end - begin
+        part = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        own = np.repeat(np.arange(len(size)), size)
         w = _words(data, at[order[part]] + k, length - k)
-        o = np.lexsort((w, group[part]))
-        order[part], w, g = order[part[o]], w[o], group[part]
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (w[1:] != w[:-1])])
-        # a group's number is the place where it begins
-        group[part] = part[np.maximum.accumulate(np.where(new, np.arange(len(part)), 0))]
-        alone = new & np.append(new[1:], True)
-        live[part[alone]] = False
+        o = np.lexsort((w, own))
+        order[part], w = order[part[o]], w[o]
+        new = np.concatenate([[True], (own[1:] != own[:-1]) | (w[1:] != w[:-1])])
+        cuts = np.flatnonzero(new)
+        many = np.diff(np.append(cuts, len(part)))
+        group[part] = np.repeat(part[cuts], many)
+        if k + 8 < length:
+            by.setdefault(k + 8, []).extend((int(part[c]), int(part[c]) + int(n)) for c, n in zip(cuts[many > 1], many[many > 1]))
     return order, group
 
 
@@ -260,8 +295,8 @@ def blocks(docs: DataFrame) -> DataFrame:
 
         def closed() -> pa.RecordBatch:
             sizes = np.array([len(t) for t in texts], dtype="<u4").tobytes()
-            row = ((part << 32) + serial, names, sizes, b"".join(texts))
-            return pa.record_batch([pa.array([v], t) for v, t in zip(row, _BLOCK_TYPES)], names=["block", "docs", "sizes", "text"])
+            row = ((part << 32) + serial, names, sizes, b"".join(texts), held)
+            return pa.record_batch([pa.array([v], t) for v, t in zip(row, _BLOCK_TYPES)], names=["block", "docs", "sizes", "text", "n_bytes"])
 
         for batch in slices(batches):
             for name, text in zip(batch.column("doc_id").to_pylist(), byte_texts(batch, "text")):
@@ -275,17 +310,21 @@ def blocks(docs: DataFrame) -> DataFrame:
             yield closed()
 
     rows = columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(run, "block long, docs array<long>, sizes binary, text binary")
+    return rows.mapInArrow(run, "block long, docs array<long>, sizes binary, text binary, n_bytes long")
 
 
-_BLOCK_TYPES = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+_BLOCK_TYPES = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64())
 
 
 def _bucketed(df: DataFrame, n: int, scratch: Scratch) -> DataFrame:
     """``df`` written with rows of a block in one of ``n`` buckets."""
     name = f"blocks_{uuid.uuid4().hex}"
     df.write.bucketBy(n, "block").option("compression", "zstd").option("path", f"{scratch.base}/{name}").saveAsTable(name)
-    return df.sparkSession.table(name)
+    scratch.until_exit()
+    out = df.sparkSession.table(name)
+    # the catalog's entry was only needed to read the buckets; its files stay
+    df.sparkSession.sql(f"DROP TABLE {name}")
+    return out
 
 
 def screen(made: DataFrame, buckets: int) -> DataFrame:
@@ -355,6 +394,8 @@ def remove(docs: DataFrame, with_text: bool = False) -> DataFrame:
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = ranges = PER_PARTITION * parts
     made = _bucketed(blocks(docs), parts, scratch)
+    n_bytes = made.select(F.sum("n_bytes")).first()[0] or 0
+    buckets = max(buckets, n_bytes // 16 // PER_BUCKET)
     keys = screen(made, buckets).groupBy("block").agg(F.collect_list(F.struct("bucket", "keys")).alias("shared"))
     keys = scratch.write(keys, "shared")
     rows = made.join(keys.hint("shuffle_hash"), "block", "left")
@@ -412,7 +453,6 @@ def _finished(row: dict, buckets: int, ranges: Ranges, with_text: bool) -> pa.Re
         cuts = np.searchsorted(to[order], np.arange(len(ranges.splitters) + 2))
         for x in row["bits"] or []:
             bits[order[cuts[x["range"]] : cuts[x["range"] + 1]]] = np.frombuffer(x["bits"], dtype="<u8")
-    n = len(block.data)
     many = np.array([len(s) for s in strings], dtype=np.int64) - WINDOW + 1
     # a later document of the block loses the whole string; the smallest one what another block says
     full = (np.uint64(1) << many.astype(np.uint64)) - np.uint64(1)
@@ -424,20 +464,26 @@ def _finished(row: dict, buckets: int, ranges: Ranges, with_text: bool) -> pa.Re
         at = first[some[(mine[some] >> np.uint64(k)) & np.uint64(1) == 1]] + k
         begin.append(at)
         end.append(at + WINDOW)
-    turn = np.bincount(np.concatenate(begin), minlength=n + 1) - np.bincount(np.concatenate(end), minlength=n + 1)
-    gone = np.cumsum(turn[:n]) > 0
+    begin, end = np.concatenate(begin), np.concatenate(end)
+    order = np.argsort(begin, kind="stable")
+    begin, reach = begin[order], np.maximum.accumulate(end[order])
+    ends = np.cumsum(block.sizes)
+    of = np.searchsorted(ends, begin, side="right")
+    # a span begins where nothing before reaches, and in a new text
+    new = np.concatenate([[True], (begin[1:] > reach[:-1]) | (of[1:] != of[:-1])])[: len(begin)]
+    left, right, owner = begin[new], reach[np.append(new[1:], True)[: len(begin)]], of[new]
+    cuts = np.searchsorted(owner, np.arange(len(ends) + 1))
     out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")}
-    ends = np.cumsum(block.sizes).tolist()
-    for a, b in zip([0, *ends], ends):
-        g = gone[a:b]
-        kept = block.data[a:b][~g].tobytes()
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]])))
-        out["n_bytes"].append(b - a)
-        out["n_removed"].append(b - a - len(kept))
-        out["n_spans"].append(len(edge) // 2)
+    for k, (size, stop) in enumerate(zip(block.sizes.tolist(), ends.tolist())):
+        base = stop - size
+        own = list(zip(left[cuts[k] : cuts[k + 1]].tolist(), right[cuts[k] : cuts[k + 1]].tolist()))
+        kept = b"".join(block.text[a:b] for a, b in zip([base, *(e for _, e in own)], [*(s for s, _ in own), stop]))
+        out["n_bytes"].append(size)
+        out["n_removed"].append(size - len(kept))
+        out["n_spans"].append(len(own))
         out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
         if with_text:
-            out["spans"].append([{"start": s, "end": e} for s, e in edge.reshape(-1, 2).tolist()])
+            out["spans"].append([{"start": s - base, "end": e - base} for s, e in own])
             out["kept"].append(kept)
     cols = {"doc_id": pa.array(block.ids, pa.int64())} | {k: pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")}
     cols["kept_sha256"] = pa.array(out["kept_sha256"], pa.string())
