@@ -9,13 +9,17 @@ Weights are fitted on at most about ``TRAIN_ROWS`` labelled rows, chosen by a
 hash of doc_id; all their features, not their texts, meet in one task, which
 spills them to a file and reads them back row by row.  Every text is scored
 whole.  A null or empty text has the bias alone.  Labels that are
-null or repeated with both values for a document are left out.
+null or repeated with both values for a document are left out.  Rows that share
+a doc_id share its label and are all learnt from, in the order of their
+features, so the order of arrival changes nothing.  Extra columns are ignored;
+without labels every score is one half; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 import tempfile
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -136,9 +140,11 @@ def train(docs: DataFrame, labels: DataFrame, allowed=None) -> np.ndarray:
             got = []
             for b in batches:
                 for doc, toxic, x in zip(*(b.column(c) for c in ("doc_id", "toxic", "x"))):
-                    got.append((doc.as_py(), toxic.as_py(), file.tell(), file.write(x.as_buffer())))
-            got.sort(key=lambda r: ((r[0] * 0x9E3779B97F4A7C15) % (1 << 64), r[0]))
-            w = fit(Spilled(file, [r[2:] for r in got]), np.array([r[1] for r in got], dtype=float))
+                    held = x.as_buffer()
+                    got.append((doc.as_py(), toxic.as_py(), file.tell(), file.write(held), zlib.crc32(held)))
+            # rows under one id: in the order of their features
+            got.sort(key=lambda r: ((r[0] * 0x9E3779B97F4A7C15) % (1 << 64), r[0], r[3], r[4]))
+            w = fit(Spilled(file, [r[2:4] for r in got]), np.array([r[1] for r in got], dtype=float))
         at = np.flatnonzero(w)
         yield pa.record_batch({"i": pa.array(at.astype(np.int32)), "w": pa.array(w[at])})
 
