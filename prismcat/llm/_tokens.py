@@ -87,10 +87,12 @@ class UnitEncoder:
         spec = json.loads(self.tok.to_str())
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         parts = [p["type"] for p in (norm or {}).get("normalizers", [])]
+        # texts may only be cut at white space if that is what the file makes of it
+        spaces = [(p.get("pattern"), p.get("content")) for p in (norm or {}).get("normalizers", []) if p["type"] == "Replace"] == [({"Regex": r"\s+"}, " ")]
         split = (pre.get("pretokenizers") or [{}])[0]
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
             self.way, pattern = "lead", BYTE_LEVEL
-        elif parts == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and split.get("invert"):
+        elif parts == ["NFC", "Replace", "Lowercase"] and spaces and split.get("behavior") == "Removed" and split.get("invert"):
             self.way, pattern = "drop", split["pattern"]["Regex"]
         else:
             self.way, pattern = "whole", r"\X"

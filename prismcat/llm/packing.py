@@ -8,7 +8,8 @@ pieces then fill the gaps, from the longest down, each into the tightest gap.
 The plan is a list of runs, "of length l, the ranks a to b lie at offset o of
 the sequences from s on"; a piece finds its run by its rank among the pieces of
 its length.  Ranks come from salted windows over a few bytes per piece, so a
-length that a third of all pieces have is no hot group.
+length that a third of all pieces have is no hot group; pieces of full length
+are sequences of their own (with negative numbers) and get no rank.
 
 Null and empty texts are documents of their end id alone.  Ids may repeat or be
 null.  Extra columns are ignored; an empty table gives no rows.
@@ -163,6 +164,9 @@ def plan(counts: dict[int, int], capacity: int) -> dict[int, list[tuple[int, int
 
 def assign(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``made`` (a written table of pieces) with sequence_id and offset in place of salt."""
+    # full pieces are sequences of their own and need no rank
+    full = made.where(F.col("length") == capacity).drop("salt").withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    made = made.where(F.col("length") < capacity)
     table = made.groupBy("length", "salt").count().collect()  # capacity * SALTS rows at most
     counts: dict[int, int] = {}
     bases: dict[tuple[int, int], int] = {}
@@ -195,7 +199,7 @@ def assign(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     ranked = made.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy("ids_crc32", "doc_id", "piece")))
     kinds = ", ".join(f"{c} {made.schema[c].dataType.simpleString()}" for c in kept)
-    return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long").unionByName(full)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
