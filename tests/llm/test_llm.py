@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from prismcat.llm import _tokens, chat, exact_dedup, hmm_lm, mixing, packing, registry, simhash, substring_dedup, token_files, topk, toxicity
+from prismcat.llm import _tokens, chat, exact_dedup, hmm_lm, mixing, packing, registry, simhash, simhash_wide, substring_dedup, token_files, topk, toxicity
 from tests.compare import check, duck
 from tests.llm.conftest import frame, odd_rows
 
@@ -165,6 +165,35 @@ def test_substrings_hot_passage_and_text(spark, monkeypatch):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 and sum(s.end - s.start for s in r.spans) == r.n_removed for r in got)
 
 
+def test_substrings_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PIECE", 300)
+    monkeypatch.setattr(substring_dedup, "BLOCK", 1000)
+    monkeypatch.setattr(substring_dedup, "SMALL", 8)
+    rnd = random.Random(12)
+    noise = lambda n: "".join(rnd.choice("abcdefg ") for _ in range(n))
+    shared = [noise(n) for n in (49, 50, 51, 400, 1500)]
+    rows = [(k, "".join(x for _ in range(rnd.randint(1, 9)) for x in (noise(rnd.randint(0, 400)), rnd.choice(shared))), None) for k in range(25)]
+    assert Counter(tuple(r) for r in substring_dedup.remove(frame(spark, rows)).collect()) == removed(rows)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("blocks_")]
+
+
+def test_equal_windows_never_meet_a_boundary():
+    rnd = random.Random(13)
+    strings = [bytes(rnd.choice(b"ab") for _ in range(60)) for _ in range(400)]
+    first = np.array([int.from_bytes(s[5:13], "big") for s in strings], dtype=np.uint64)
+    ranges = substring_dedup.Ranges(np.unique(rnd.sample(first.tolist(), 20)).astype(np.uint64), np.zeros(0, dtype=np.uint64))
+    own = ranges.of(strings, np.full(len(strings), 5))
+    lead = defaultdict(set)
+    for s, r in zip(strings, own.tolist()):
+        lead[s[5:13]].add(r)
+    assert all(len(v) == 1 for v in lead.values()) and len(set(own.tolist())) > 5
+
+
+def test_multikey_cuts_segments_in_three(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SMALL", 3)
+    test_multikey()
+
+
 def test_multikey():
     rnd = random.Random(4)
     strings = [bytes(rnd.choice(b"ab") for _ in range(20)) for _ in range(300)]
@@ -233,15 +262,133 @@ def test_simhash(spark, odd, odd_clash, clash):
     want = Counter((d, f - 2**64 if f >= 2**63 else f, least[r]) for (d, _, _), f, r in zip(rows, fps, root))
     source = odd_clash if clash else odd
     assert Counter((r.doc_id, r.fp, r.component_id) for r in simhash.components(source).collect()) == want
-    kept = simhash.near_dedup(source)
+
+
+def jaccard_classes(texts, similarity=0.8, words=5):
+    sets_ = []
+    for t in texts:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        sets_.append({b" ".join(w[i : i + words]) for i in range(len(w) - words + 1)} or ({b" ".join(w)} if w else set()))
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets_):
+        for j in range(i):
+            b = sets_[j]
+            if len(a & b) >= similarity * len(a | b):
+                up[root(i)] = root(j)
+    return [root(i) for i in range(len(texts))]
+
+
+def kept_of(rows, classes):
+    """(doc_id, text) of each class's row with the smallest id."""
+    best = {}
+    for (d, t, _), c in zip(rows, classes):
+        best.setdefault(c, []).append((d is None, d or 0, d, t or ""))
+    return {c: [x for x in v if x[:2] == min(v)[:2]] for c, v in best.items()}
+
+
+def near_copies(seed, groups, each):
+    """Texts with some words changed, and texts that share half their words only."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghijk") for _ in range(5))
+    rows = []
+    for g in range(groups):
+        base = [word() for _ in range(rnd.choice([60, 150, 400]))]
+        for _ in range(rnd.randint(1, each)):
+            own = list(base)
+            for _ in range(rnd.randint(0, max(1, len(own) // 70))):
+                own[rnd.randrange(len(own))] = word()
+            rows.append((len(rows), " ".join(own), "s"))
+        rows.append((len(rows), " ".join(base[: len(base) // 2] + [word() for _ in base[::2]]), "s"))
+    return rows
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_near_dedup_of_odd_rows(spark, odd, odd_clash, clash):
+    source, rows = (odd_clash if clash else odd), odd_rows()
+    kept = simhash_wide.near_dedup(source)
     assert kept.columns == source.columns
-    ids = Counter(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert ids == Counter({d for d, _, c in want if d is not None and d == c})
+    got = Counter((r.doc_id, r.text or "") for r in kept.collect())
+    want = kept_of(rows, jaccard_classes([t for _, t, _ in rows]))
+    assert sum(got.values()) == len(want)
+    assert all(any(got[d, t] == 1 for _, _, d, t in v) for v in want.values())
+
+
+def test_near_dedup_of_repeated_and_null_ids(spark):
+    base = [f"w{k}" for k in range(80)]
+    texts = [" ".join(base), " ".join(base[:-1] + ["x"]), " ".join(base[::-1])]
+    for ids in ([1, 1, 1], [None, None, None], [5, None, 5]):
+        rows = [(d, t, None) for d, t in zip(ids, texts)] + [(ids[0], texts[0], None)]
+        got = [(r.doc_id, r.text) for r in simhash_wide.near_dedup(frame(spark, rows)).collect()]
+        assert len(got) == 2 and {t for _, t in got} > {texts[2]} and all(d == ids[0] for d, _ in got)
+
+
+@pytest.mark.parametrize("block", [1_500_000, 8000])
+def test_near_dedup_finds_what_brute_force_finds(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash_wide, "BLOCK", block)
+    monkeypatch.setattr(simhash_wide, "FRONT", 7)
+    rows = near_copies(11, 25, 40)
+    got = {r.doc_id for r in simhash_wide.near_dedup(frame(spark, rows)).collect()}
+    want = {v[0][2] for v in kept_of(rows, jaccard_classes([t for _, t, _ in rows])).values()}
+    assert want <= got and len(got - want) <= 0.01 * len(rows)
+
+
+def test_wide_limits():
+    assert abs(simhash_wide.bit_rate(0.8) - 0.1514) < 1e-3
+    for nodes in (2, 1000, 10**6, 10**10):
+        coords, many = simhash_wide.grids(nodes, 0.8)
+        assert 1 - (1 - (1 - simhash_wide.bit_rate(0.8)) ** coords) ** many >= simhash_wide.FOUND
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    sets_ = [base, np.concatenate([base[:2667], rng.integers(0, 2**63, 333, dtype=np.uint64)])]  # similarity 0.8
+    fp = simhash_wide.wide(np.concatenate(sets_), np.array([3000, 3000]))
+    assert np.bitwise_count(fp[0] ^ fp[1]).sum() <= simhash_wide.limit(512, 0.8)
+
+
+def test_near_forest_joins_all_near_rows():
+    rnd = random.Random(3)
+    rows = []
+    for _ in range(12):
+        x = [rnd.getrandbits(64), rnd.getrandbits(64)]
+        for _ in range(rnd.randint(1, 60)):
+            rows.append([v ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for v in x])
+    fp = np.array(rows, dtype=np.uint64)
+    want = brute_components([a | b << 64 for a, b in rows], 8)
+    up = list(range(len(rows)))
 
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in simhash_wide.near_forest(fp, 8):
+        assert root(a) != root(b)
+        up[root(a)] = root(b)
+    assert all((root(i) == root(j)) == (want[i] == want[j]) for i in range(len(rows)) for j in range(i))
+
+
+def test_points_bound_the_distance():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 2**63, 500, dtype=np.uint64), rng.integers(0, 2**63, 500, dtype=np.uint64)
+    assert (np.abs(simhash.embed(a) - simhash.embed(b)).sum(axis=1) <= np.bitwise_count(a ^ b)).all()
+
+
+def test_runs_are_not_torn():
+    keys = np.sort(np.random.default_rng(5).integers(0, 9, 200))
+    parts = [(keys[a:b], np.arange(a, b)) for a, b in zip([0, 1, 1, 90, 150], [1, 1, 90, 150, 200])]
+    got = list(simhash.runs(iter(parts)))
+    assert np.concatenate([g[0] for g in got]).tolist() == keys.tolist()
+    assert all(a[0][-1] != b[0][0] for a, b in zip(got, got[1:]))
 
-@pytest.mark.parametrize("blockwise", [4096, 2])
-def test_simhash_links(spark, monkeypatch, blockwise):
-    monkeypatch.setattr(simhash, "BLOCKWISE", blockwise)
+
+@pytest.mark.parametrize("at_once", [256, 2])
+def test_simhash_links(spark, monkeypatch, at_once):
+    monkeypatch.setattr(simhash, "AT_ONCE", at_once)
     rnd = random.Random(9)
     fps = {0, 2**64 - 1}
     for _ in range(30):
@@ -324,9 +471,32 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
-def test_top_k_of_large_components():
-    a = np.array([[2.0**40, 1.0]])
-    assert topk._products(a, np.array([[2.0**40, 3.0], [1.0, 1.0]])).tolist() == [[2**63 - 1, 2**40 + 1]]
+def test_top_k_of_large_components(spark):
+    rnd = random.Random(4)
+    rows = [(k, [rnd.choice([-1, 1]) * rnd.random() * 1e38 for _ in range(3)]) for k in range(120)] + [(200, [1.0, 2.0, 3.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    whole = {v: [math.floor(256 * float(np.float32(x))) for x in e] for v, e in rows}
+    want = []
+    for q in (0, 50, 100, 200):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], e)), v) for v, e in whole.items() if v != q)[:5]
+        want += [(q, n, v, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, v) in enumerate(scored, 1)]
+    assert sorted(tuple(r) for r in got) == want
+
+
+def test_top_k_stops_by_its_bounds():
+    rng = np.random.default_rng(1)
+    centres = rng.integers(-400, 400, (40, 8))
+    x = np.floor(centres[rng.integers(0, 40, 3000)] + rng.normal(0, 8, (3000, 8)))
+    q = x[:50]
+    pivots = x[topk.farthest(x, 32)]
+    far, qfar = topk._distances(x, pivots), topk._distances(q, pivots)
+    seen, floor = [], np.full(50, np.iinfo(np.int64).min)
+    held = topk.search_block(np.arange(50), q, qfar, floor, np.arange(3000), x, far, tuple(np.zeros(0, dtype=np.int64) for _ in range(3)), 5, seen)
+    for k in range(50):
+        scores = (x @ q[k]).astype(np.int64)
+        want = sorted((-s, i) for i, s in enumerate(scores.tolist()) if i != k)[:5]
+        assert sorted((-s, i) for p, s, i in zip(*held) if p == k) == want
+    assert sum(seen) < 0.5 * 50 * 3000
 
 
 # --- language model ----------------------------------------------------------------------------------------------
@@ -362,8 +532,10 @@ def test_hmm_recursions():
                 emits[o[t], p[t]] += w / total
                 if t:
                     moves[p[t - 1], p[t]] += w / total
-    for x, y in zip(model.expected(seen, sizes), (starts, moves, emits)):
+    *counts, likelihood = model.expected(seen, sizes)
+    for x, y in zip(counts, (starts, moves, emits)):
         assert np.allclose(x, y, atol=1e-5)
+    assert abs(likelihood - got.sum()) < 1e-5
 
 
 @pytest.mark.parametrize("clash", [False, True])
@@ -379,6 +551,27 @@ def test_language_model(spark, odd, odd_clash, clash):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+def test_language_model_of_long_texts_only(spark, monkeypatch):
+    monkeypatch.setattr(hmm_lm, "START_TOKENS", 2000)
+    monkeypatch.setattr(hmm_lm, "BLOCK", 4000)
+    rnd = random.Random(7)
+    topics = [[f"{t}w{k}" for k in range(40)] for t in "abcd"]
+    rows = [(k, " ".join(rnd.choice(topics[(k + n // 500) % 4]) for n in range(6000)), None) for k in range(30)]
+    models, plain = [], hmm_lm.trained
+    monkeypatch.setattr(hmm_lm, "trained", lambda *a: models.append(plain(*a)) or models[-1])
+    got = hmm_lm.score(frame(spark, rows)).collect()
+    emit = models[0].emit
+    assert all(np.abs(emit[:, a] - emit[:, b]).max() > 1e-3 for a in range(hmm_lm.STATES) for b in range(a))
+    assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
+
+
+def test_first_states_differ_without_a_sample():
+    share = np.full(50, 0.02)
+    for texts in ([], [np.zeros(3, dtype=np.uint16)]):
+        emit = hmm_lm.first_model(texts, share).emit
+        assert all(np.abs(emit[:, a] - emit[:, b]).max() > 1e-4 for a in range(hmm_lm.STATES) for b in range(a))
+
+
 def test_language_model_beats_its_base(spark):
     got = [r for r in registry.QUERIES["op7_hmm_language_model"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
@@ -401,14 +594,14 @@ def water(sizes):
         stopped |= {s: 2 * sizes[s] for s in over}
 
 
-@pytest.mark.parametrize("shape", ["odd", "steep", "many"])
+@pytest.mark.parametrize("shape", ["odd", "steep", "many", "thousands"])
 def test_mixing(spark, odd_clash, shape):
     rnd = random.Random(3)
     if shape == "odd":
         rows, df = odd_rows(), odd_clash
     else:
-        sizes = [1, 1, 2, 400] if shape == "steep" else [rnd.randint(1, 50) for _ in range(17)]
-        rows = [(100 * s + k, "w " * rnd.randint(1, 30), f"s{s:02}") for s, n in enumerate(sizes) for k in range(n)]
+        sizes = {"steep": [1, 1, 2, 400], "many": [rnd.randint(1, 50) for _ in range(17)], "thousands": [rnd.randint(1, 2) for _ in range(3000)]}[shape]
+        rows = [(1000 * s + k, "w " * rnd.randint(1, 30), f"s{s:04}") for s, n in enumerate(sizes) for k in range(n)]
         df = frame(spark, rows)
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     total = Counter()
@@ -497,6 +690,51 @@ def test_toxicity(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(d for d, r in got.items() if d is not None and not r.predicted)
 
 
+def test_fit_is_ftrl_proximal():
+    rnd = random.Random(2)
+    rows = [np.array(sorted(rnd.sample(range(40), rnd.randint(0, 8))), dtype=np.int32) for _ in range(120)]
+    labels = np.array([float(3 in r or 7 in r) for r in rows])
+    z, n, weight = defaultdict(float), defaultdict(float), {}
+
+    def w(i):
+        if abs(z[i]) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.PASSES):
+        for row, y in zip(rows, labels):
+            at = [*row.tolist(), 1 << toxicity.BITS]
+            weight = {i: w(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(weight.values()))) - y
+            if abs(g) < 1e-3:
+                continue
+            for i in at:
+                step = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA
+                z[i] += g - step * weight[i]
+                n[i] += g * g
+    got = toxicity.fit(rows, labels)
+    want = np.zeros(len(got))
+    for i in z:
+        want[i] = w(i)
+    assert np.allclose(got, want, atol=1e-9) and (want != 0).sum() > 2
+
+
+def test_features_are_words_pairs_and_skip_pairs():
+    words = [b"a", b"b", b"c", b"d"]
+    h = [xxhash.xxh3_64_intdigest(x) for x in words]
+    odd, mask = 0x9E3779B97F4A7C15, 2**64 - 1
+    x = h + [(a * odd + b) & mask for a, b in zip(h, h[1:])] + [((a * odd + b) & mask) ^ 0x5BD1E995 for a, b in zip(h, h[2:])]
+    assert toxicity.features(b"A, b C. d").tolist() == sorted({((v * odd) & mask) >> (64 - toxicity.BITS) for v in x})
+
+
+def test_toxicity_does_not_depend_on_arrival(spark):
+    rnd = random.Random(5)
+    rows = [(k % 40, " ".join(rnd.choice(["vile", "calm", "x", "y", "z"]) for _ in range(6)), None) for k in range(200)]
+    marks = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    a, b = (toxicity.train(frame(spark, r).repartition(n), marks) for r, n in ((rows, 1), (rows[::-1], 3)))
+    assert np.array_equal(a, b)
+
+
 def test_toxicity_learns_from_whole_texts(spark):
     rnd = random.Random(3)
     words = lambda: " ".join(f"w{rnd.getrandbits(40)}" for _ in range(9000))
@@ -518,7 +756,7 @@ def test_empty_tables(spark, none, tmp_path):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     token_files.write_tokens(none, f"file://{tmp_path}/out")
     for df in (
-        packing.pack(none), substring_dedup.remove(none), simhash.components(none), simhash.near_dedup(none), exact_dedup.decide(none), exact_dedup.exact_dedup(none), hmm_lm.score(none), mixing.mix(none),
+        packing.pack(none), substring_dedup.remove(none), simhash.components(none), simhash_wide.near_dedup(none), exact_dedup.decide(none), exact_dedup.exact_dedup(none), hmm_lm.score(none), mixing.mix(none),
         mixing.mixed(none), token_files.read_tokens(spark, f"file://{tmp_path}/out"), toxicity.score_documents(none, labels), toxicity.drop_toxic(none, labels),
     ):
         assert df.count() == 0
@@ -543,9 +781,8 @@ def test_pipeline(spark, monkeypatch):
     assert ids(single) == {d for _, d in best.values()}
     far = stages["simhash_near_dedup"](spark, single, SF).cache()
     rows = single.select("doc_id", "text").collect()
-    root = brute_components([brute_fingerprint(r.text) for r in rows])
     least = {}
-    for r, c in zip(rows, root):
+    for r, c in zip(rows, jaccard_classes([r.text for r in rows])):
         least[c] = min(least.get(c, r.doc_id), r.doc_id)
     assert ids(far) == set(least.values())
     mix = stages["mixing"](spark, far, SF).cache()
@@ -555,3 +792,18 @@ def test_pipeline(spark, monkeypatch):
     packed = stages["packing"](spark, mix, SF).collect()
     assert Counter(r.doc_id for r in packed if r.piece == 0) == copies
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "mixing", "packing"]
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_pipeline_on_odd_rows(spark, odd, odd_clash, clash):
+    import corpus_pipeline
+
+    docs = odd_clash if clash else odd
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == columns, name
+    rows = odd_rows()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r.doc_id for r in docs.collect())
+    assert {r.doc_id for r in packed} <= {d for d, _, _ in rows}
