@@ -37,7 +37,7 @@ TRAIN_ROWS = 12_000
 #: FTRL-proximal: rate, its smoothing, L1, L2, passes.
 ALPHA, BETA, L1, L2, PASSES = 2.0, 1.0, 6.0, 0.0, 8
 #: Hashes of words that a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 _words: dict[bytes, int] = {}
 _LETTERS = re.compile(rb"^[^\w\x80-\xff]+|[^\w\x80-\xff]+$")
