@@ -1,59 +1,113 @@
-"""Similarity joins of signatures."""
+"""Similarity joins of signatures.
+
+Signatures are compared once per distinct value; the pairs of ids come from the members of the values at the end, so
+equal signatures meet in no join.  Pairs of values are found by multi-index hashing: with m bands, signatures within t
+bits agree in one band up to t // m bits, so each side looks up its band values and those a few bits away, and an equi
+join finds every pair.  Where the threshold is so wide that bands tell little apart, any exact method compares nearly
+all pairs; then blocks of values are paired, each pair of blocks once.
+"""
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismcat.functions.exprs import hamming
+from prismcat.plans.scratch import Scratch
 
-#: Rows of a block where the threshold is too wide for bands.
+#: Values of a block where the threshold is too wide for bands.
 BLOCK_ROWS = 4096
+#: Band widths in bits that are tried, rows per value that a side may be spread to, and the share of all pairs from which bands are not worth it.
+WIDTHS, MOST_PROBES, WORTH = (8, 16, 32), 4096, 0.25
 
 
-def _pairs_by_band(sigs: DataFrame, lanes: list[str], bits: int, bands: int, t: int) -> DataFrame:
-    """Pairs that agree in one band at least: with more bands than differing bits, none is lost."""
-    per_lane = bands // len(lanes)
-    width = bits // per_lane
-    keys = [
-        F.struct(F.lit(i * per_lane + j).alias("band"), F.shiftrightunsigned(F.col(lane), j * width).bitwiseAND(F.lit((1 << width) - 1)).alias("part"))
-        for i, lane in enumerate(lanes)
-        for j in range(per_lane)
-    ]
-    keyed = sigs.select("id", *lanes, F.explode(F.array(*keys)).alias("k"))
-    a = keyed.select(F.col("id").alias("a"), *[F.col(x).alias(f"a_{x}") for x in lanes], "k")
-    b = keyed.select(F.col("id").alias("b"), *[F.col(x).alias(f"b_{x}") for x in lanes], "k")
-    return a.join(b, "k").where("a < b")
-
-
-def _pairs_by_block(sigs: DataFrame, lanes: list[str]) -> DataFrame:
-    """All pairs, as an equi join of block pairs, so that no side is broadcast or gathered."""
-    n = max(1, -(-sigs.count() // BLOCK_ROWS))
-    placed = sigs.withColumn("_blk", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(n - 1))
-    a = placed.select(F.col("id").alias("a"), *[F.col(x).alias(f"a_{x}") for x in lanes], F.col("_blk").alias("x"), F.explode(every).alias("y"))
-    b = placed.select(F.col("id").alias("b"), *[F.col(x).alias(f"b_{x}") for x in lanes], F.col("_blk").alias("y"), F.explode(every).alias("x"))
-    return a.join(b, ["x", "y"]).where("a < b")
-
-
-def photo_edges(sigs: DataFrame, lanes: list[str], t: int, bits: int = 64, bands: int = 16) -> DataFrame:
-    """(a, b, distance) with a < b for all pairs within ``t`` bits.
+def bands_for(bits: int, lanes: int, t: int) -> tuple[int, int] | None:
+    """(width, radius) of the bands that compare the fewest pairs, or None if none is worth it."""
+    best = None
+    for width in WIDTHS:
+        if bits % width:
+            continue
+        m = bits // width * lanes
+        radius = t // m
+        near = sum(comb(width, k) for k in range(min(radius, width) + 1))
+        share = m * near / 2**width
+        rows = m * sum(comb(width, k) for k in range(min(radius - radius // 2, width) + 1))
+        if share < WORTH and rows <= MOST_PROBES and (best is None or share < best[0]):
+            best = (share, width, radius)
+    return best and best[1:]
 
-    ``sigs``: id and signature lanes of ``bits`` used bits each.  Quality never gates a photo.
-    """
-    pairs = _pairs_by_band(sigs, lanes, bits, bands, t) if t < bands else _pairs_by_block(sigs, lanes)
-    d = hamming([F.col(f"a_{x}") for x in lanes], [F.col(f"b_{x}") for x in lanes])
-    out = pairs.withColumn("distance", d).where(F.col("distance") <= t).select("a", "b", "distance")
-    return out.distinct() if t < bands else out
 
+def _probed(sigs: DataFrame, lanes: list[str], bits: int, width: int, reach: int) -> DataFrame:
+    """``sigs`` with key (band, part): each band's value and those up to ``reach`` bits away."""
+    masks = sorted(sum(1 << b for b in c) for k in range(reach + 1) for c in combinations(range(width), k))
+    flips = F.lit(masks).cast("array<long>")
+
+    def keyed(band: int, lane: str, j: int):
+        part = F.shiftrightunsigned(F.col(lane), j * width).bitwiseAND(F.lit((1 << width) - 1))
+        return F.transform(flips, lambda m: F.struct(F.lit(band).alias("band"), part.bitwiseXOR(m).alias("part")))
+
+    places = [(lane, j) for lane in lanes for j in range(bits // width)]
+    keys = [keyed(n, lane, j) for n, (lane, j) in enumerate(places)]
+    return sigs.withColumn("key", F.explode(F.concat(*keys)))
 
-def cross_edges(targets: DataFrame, pool: DataFrame, lanes: list[str], t: int) -> DataFrame:
-    """(target, match, distance): every target against every signature of the pool, in blocks."""
-    n = max(1, -(-pool.count() // BLOCK_ROWS))
-    a = targets.select(F.col("id").alias("target"), *[F.col(x).alias(f"a_{x}") for x in lanes], F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("y"))
-    b = pool.select(F.col("id").alias("match"), *[F.col(x).alias(f"b_{x}") for x in lanes], F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("y"))
+
+def _side(df: DataFrame, name: str, lanes: list[str], *more: str) -> DataFrame:
+    return df.select(F.col("value").alias(name), *[F.col(x).alias(f"{name}_{x}") for x in lanes], *more)
+
+
+def _near_values(left: DataFrame, right: DataFrame | None, lanes: list[str], t: int, bits: int) -> DataFrame:
+    """(a, b, distance) of values within ``t`` bits: of one table with a < b, or of two tables."""
+    same = right is None
     d = hamming([F.col(f"a_{x}") for x in lanes], [F.col(f"b_{x}") for x in lanes])
-    return a.join(b, "y").withColumn("distance", d).where((F.col("distance") <= t) & (F.col("target") != F.col("match"))).select("target", "match", "distance")
+    if band := bands_for(bits, len(lanes), t):
+        width, radius = band
+        a = _side(_probed(left, lanes, bits, width, radius - radius // 2), "a", lanes, "key")
+        b = _side(_probed(left if same else right, lanes, bits, width, radius // 2), "b", lanes, "key")
+        pairs = a.join(b, "key")
+        pairs = pairs.where("a < b") if same else pairs
+        return pairs.withColumn("distance", d).where(F.col("distance") <= t).select("a", "b", "distance").distinct()
+    n = max(1, -(-(left if same else right).count() // BLOCK_ROWS))
+    m = n if same else max(1, -(-left.count() // BLOCK_ROWS))
+    block = lambda k: F.pmod(F.xxhash64("value"), F.lit(k)).cast("int")
+    if same:  # the pair of blocks (x, y) with x <= y
+        a = _side(left.withColumn("x", block(n)).withColumn("y", F.explode(F.sequence("x", F.lit(n - 1)))), "a", lanes, "x", "y")
+        b = _side(left.withColumn("y", block(n)).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("y")))), "b", lanes, "x", "y")
+        pairs = a.join(b, ["x", "y"]).where((F.col("x") < F.col("y")) | (F.col("a") < F.col("b")))
+    else:
+        a = _side(left.withColumn("x", block(m)).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), "a", lanes, "x", "y")
+        b = _side(right.withColumn("y", block(n)).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))), "b", lanes, "x", "y")
+        pairs = a.join(b, ["x", "y"])
+    return pairs.withColumn("distance", d).where(F.col("distance") <= t).select("a", "b", "distance")
+
+
+def _values(sigs: DataFrame, lanes: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Distinct signatures as ``value`` with lanes, and (id, value) of all."""
+    values = scratch.write(sigs.select(*lanes).distinct().withColumn("value", F.monotonically_increasing_id()), "values")
+    return values, sigs.join(values, lanes).select("id", "value")
+
+
+def photo_edges(sigs: DataFrame, lanes: list[str], t: int, bits: int = 64) -> DataFrame:
+    """(a, b, distance) with a < b for all pairs within ``t`` bits.
+
+    ``sigs``: id and signature lanes of ``bits`` used bits each.  Quality never gates a photo.
+    """
+    values, members = _values(sigs, lanes, Scratch(sigs.sparkSession, "photo_edges"))
+    near = _near_values(values, None, lanes, t, bits)
+    a, b = members.toDF("i", "a"), members.toDF("j", "b")
+    across = near.join(a, "a").join(b, "b").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance")
+    equal = members.toDF("a", "value").join(members.toDF("b", "value"), "value").where("a < b").select("a", "b", F.lit(0).alias("distance"))
+    return across.unionByName(equal)
+
+
+def cross_edges(targets: DataFrame, pool: DataFrame, lanes: list[str], t: int, bits: int = 64) -> DataFrame:
+    """(target, match, distance): every target against every signature of the pool."""
+    scratch = Scratch(targets.sparkSession, "cross_edges")
+    (ours, own), (theirs, other) = _values(targets, lanes, scratch), _values(pool, lanes, scratch)
+    near = _near_values(ours, theirs, lanes, t, bits)
+    return near.join(own.toDF("target", "a"), "a").join(other.toDF("match", "b"), "b").where("target <> match").select("target", "match", "distance")
 
 
 def duration_pairs(videos: DataFrame, tol_s: float, tol_pct: float) -> DataFrame:
