@@ -36,32 +36,29 @@ def keep_suggested(led: DataFrame) -> DataFrame:
 
 
 def exact_plan(instances: DataFrame, prefer_internal: bool = False) -> DataFrame:
-    """Deletions among instances of the same asset: asset_id, path, is_external, reason, survivor, seq.
+    """Deletions among instances of the same asset: asset_id, path, is_external, reason, survivor.
 
     ``instances``: asset_id, path, mtime, is_external.  Normally an external copy (the smallest path) survives and
     all internal ones go; without one the oldest internal stays.  With ``prefer_internal`` the oldest internal copy
-    survives and everything else goes, external copies too.
+    survives and everything else goes, external copies too.  Survivors come from partial aggregates, so a content with
+    very many copies meets in no task.
     """
-    per = Window.partitionBy("asset_id")
-    external = F.col("is_external") == 1
-    flagged = instances.withColumn("has_ext", F.max("is_external").over(per)).withColumn("has_int", F.max(1 - F.col("is_external")).over(per)).withColumn("n", F.count(F.lit(1)).over(per))
-    age = F.coalesce("mtime", F.lit(0.0))
+    side = F.col("is_external") if prefer_internal else 1 - F.col("is_external")
+    age = F.when(F.col("is_external") == 1, F.lit(0.0)).otherwise(F.coalesce("mtime", F.lit(0.0)))
+    per = instances.groupBy("asset_id").agg(
+        F.max("is_external").alias("has_ext"), F.max(1 - F.col("is_external")).alias("has_int"), F.count(F.lit(1)).alias("n"), F.min_by("path", F.struct(side, age, F.col("path"))).alias("survivor")
+    )
+    gone = instances.join(per.where("has_int = 1 AND n > 1"), "asset_id").where(F.col("path") != F.col("survivor"))
     if prefer_internal:
-        side = F.col("is_external")
-    else:
-        side = 1 - F.col("is_external")
-    order = per.orderBy(side, F.when(external, F.lit(0.0)).otherwise(age), "path")
-    placed = flagged.where("has_int = 1 AND n > 1").withColumn("nth", F.row_number().over(order)).withColumn("survivor", F.first("path").over(order))
-    if prefer_internal:
-        gone = placed.where("nth > 1")
         reason = F.when(F.col("has_ext") == 1, "exact-internal-preferred").otherwise("exact-internal")
     else:
-        gone = placed.where("nth > 1 AND is_external = 0")
+        gone = gone.where("is_external = 0")
         reason = F.when(F.col("has_ext") == 1, "exact-external").otherwise("exact-internal")
     return gone.select("asset_id", "path", "is_external", reason.alias("reason"), "survivor")
 
 
 def representative(instances: DataFrame, root: int) -> DataFrame:
     """One instance per asset: in the root first, then the smallest path."""
-    order = Window.partitionBy("asset_id").orderBy((F.col("root_id") != root).cast("int"), "path")
-    return instances.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    row = F.struct(*[c for c in instances.columns if c != "asset_id"])
+    best = instances.groupBy("asset_id").agg(F.min_by(row, F.struct((F.col("root_id") != root), F.col("path"))).alias("_r"))
+    return best.select("asset_id", *[F.col(f"_r.{c}").alias(c) for c in instances.columns if c != "asset_id"]).select(*instances.columns)

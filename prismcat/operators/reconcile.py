@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOLERANCE_S = 2.0
@@ -15,32 +15,44 @@ def fastpath(existing: DataFrame, listing: DataFrame, tolerance: float = TOLERAN
     return listing.join(old, ["root_id", "path"], "left").withColumn("hit", F.coalesce(hit, F.lit(False))).drop("_s", "_m", "_c")
 
 
-def moves(existing: DataFrame, listing: DataFrame, tolerance: float = TOLERANCE_S) -> DataFrame:
+def below(paths: DataFrame, folders: DataFrame) -> DataFrame:
+    """The distinct (root_id, path) that are one of ``folders`` (root_id, dir) or lie below one.
+
+    Folders may be any number: a path and each folder above it are looked up by equality, as ``is_within`` would find them.
+    """
+    known = folders.select("root_id", F.regexp_replace("dir", "/+$", "").alias("_dir")).distinct()
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    keys = paths.select("root_id", "path").where("root_id IS NOT NULL AND path IS NOT NULL").distinct()
+    return keys.withColumn("_dir", F.explode(above)).join(known, ["root_id", "_dir"], "left_semi").select("root_id", "path").distinct()
+
+
+def moves(existing: DataFrame, listing: DataFrame, tolerance: float = TOLERANCE_S, suppressed: DataFrame | None = None, fold: bool = False) -> DataFrame:
     """(fid, old_path, new_path): files found under another path.
 
     Name and size must be unique among all the root's instances and among listed paths that the catalog lacks; the
-    old path must be gone from the listing; mtimes must agree; the asset must be active and fully fingerprinted.
+    old path must be gone from the listing and not below a suppressed folder, where its bytes may still be; mtimes must
+    agree; the asset must be active and fully fingerprinted.  ``fold``: names and paths in any case are the same.
     """
-    bucket = ["root_id", "filename", "size"]
-    absent = listing.join(existing, ["root_id", "path"], "left_anti")
-    one = lambda df: df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*bucket))).where("_n = 1").drop("_n")
-    old = one(existing).join(listing, ["root_id", "path"], "left_anti").where("status = 'active' AND complete")
-    new = one(absent).select(*bucket, F.col("path").alias("new_path"), F.col("mtime").alias("_m"))
-    return old.join(new, bucket).where(F.abs(F.col("mtime") - F.col("_m")) <= tolerance).select("fid", F.col("path").alias("old_path"), "new_path")
+    case = F.lower if fold else F.col
+    bucket = ["root_id", "_name", "size"]
+    known = existing.select("root_id", case("path").alias("_path"))
+    found = listing.select("root_id", case("path").alias("_path"), case("filename").alias("_name"), "size", "path", "mtime")
+    absent = found.join(known, ["root_id", "_path"], "left_anti")
+    new = absent.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"), F.min("path").alias("new_path"), F.min("mtime").alias("_m")).where("_n = 1").drop("_n")
+    rows = existing.select("root_id", case("filename").alias("_name"), "size", F.struct("fid", "path", "mtime", "status", "complete").alias("_o"))
+    old = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"), F.min("_o").alias("_o")).where("_n = 1 AND _o.status = 'active' AND _o.complete")
+    pairs = old.join(new, bucket).where(F.abs(F.col("_o.mtime") - F.col("_m")) <= tolerance).select("root_id", F.col("_o.fid").alias("fid"), F.col("_o.path").alias("path"), "new_path")
+    gone_ = pairs.withColumn("_path", case("path")).join(found.select("root_id", "_path"), ["root_id", "_path"], "left_anti").drop("_path")
+    if suppressed is not None:
+        gone_ = gone_.join(below(gone_, suppressed), ["root_id", "path"], "left_anti")
+    return gone_.select("fid", F.col("path").alias("old_path"), "new_path")
 
 
 def gone(existing: DataFrame, listing: DataFrame, moved: DataFrame, suppressed: DataFrame) -> DataFrame:
-    """Instances neither listed nor moved nor below a suppressed folder.
-
-    Folders may be any number: a path and each folder above it are looked up by equality, as ``is_within`` would find them.
-    """
-    left = existing.join(listing, ["root_id", "path"], "left_anti").join(moved, "fid", "left_anti")
-    folders = suppressed.select("root_id", F.regexp_replace("dir", "/+$", "").alias("_dir")).distinct()
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    paths = left.select("root_id", "path").where("root_id IS NOT NULL AND path IS NOT NULL").distinct()
-    hidden = paths.withColumn("_dir", F.explode(above)).join(folders, ["root_id", "_dir"], "left_semi").select("root_id", "path").distinct()
-    return left.join(hidden, ["root_id", "path"], "left_anti")
+    """Instances neither listed nor moved nor below a suppressed folder."""
+    left = existing.join(listing.select("root_id", "path"), ["root_id", "path"], "left_anti").join(moved.select("fid"), "fid", "left_anti")
+    return left.join(below(left, suppressed), ["root_id", "path"], "left_anti")
 
 
 def orphans(assets: DataFrame, instances: DataFrame, removed: DataFrame) -> DataFrame:
@@ -50,48 +62,52 @@ def orphans(assets: DataFrame, instances: DataFrame, removed: DataFrame) -> Data
     return assets.where("status = 'active'").join(lost, "asset_id", "left_semi").join(alive, "asset_id", "left_anti")
 
 
+def _first(rows: DataFrame, key: str, *order) -> DataFrame:
+    """``rows`` with first: whether a row is its key's smallest by ``order``, found by partial aggregates."""
+    best = rows.groupBy(key).agg(F.min(F.struct(*order)).alias("_best"))
+    return rows.join(best, key, "left").withColumn("first", F.coalesce(F.struct(*order) == F.col("_best"), F.lit(True))).drop("_best")
+
+
 def classify(incoming: DataFrame, assets: DataFrame, oldest: bool = True) -> DataFrame:
     """Incoming files as new, exact-known, trashed or dup-in-source.
 
     ``incoming``: hash, rel, mtime; the representative of a hash is the oldest (then the smallest rel), the others are
     dup-in-source.  ``assets``: hash, status.
     """
-    order = Window.partitionBy("hash").orderBy(*([F.coalesce("mtime", F.lit(0.0))] if oldest else []), "rel")
+    order = [*([F.coalesce("mtime", F.lit(0.0))] if oldest else []), F.col("rel")]
     known = assets.select("hash", "status")
     kind = (
-        F.when(F.col("nth") > 1, "dup-in-source")
+        F.when(~F.col("first"), "dup-in-source")
         .when(F.col("status").isNull(), "new")
         .when(F.col("status") == "trashed", "trashed")
         .otherwise("exact-known")
     )
-    return incoming.withColumn("nth", F.row_number().over(order)).join(known, "hash", "left").withColumn("class", kind).drop("nth", "status")
+    return _first(incoming, "hash", *order).join(known, "hash", "left").withColumn("class", kind).drop("first", "status")
 
 
 def absorb(inbox: DataFrame, assets: DataFrame) -> DataFrame:
     """Files of a trash inbox: new_trashed, flipped, or already_trashed (also every later copy)."""
-    nth = F.row_number().over(Window.partitionBy("hash").orderBy("rel"))
     kind = (
-        F.when((F.col("nth") > 1) | (F.col("status") == "trashed"), "already_trashed")
+        F.when(~F.col("first") | (F.col("status") == "trashed"), "already_trashed")
         .when(F.col("status").isNull(), "new_trashed")
         .otherwise("flipped")
     )
-    return inbox.withColumn("nth", nth).join(assets.select("hash", "status"), "hash", "left").withColumn("outcome", kind).drop("nth", "status")
+    return _first(inbox, "hash", F.col("rel")).join(assets.select("hash", "status"), "hash", "left").withColumn("outcome", kind).drop("first", "status")
 
 
 def untrash(files: DataFrame, assets: DataFrame, counts: DataFrame) -> DataFrame:
     """Files to bring back: untrashed, forgotten (no instance left), already_active or unknown; later copies follow the first."""
-    nth = F.row_number().over(Window.partitionBy("hash").orderBy("rel"))
     n = F.coalesce("instances", F.lit(0))
     trashed = F.col("status") == "trashed"
     kind = (
         F.when(F.col("status").isNull(), "unknown")
-        .when(trashed & (n > 0) & (F.col("nth") == 1), "untrashed")
-        .when(trashed & (n == 0) & (F.col("nth") == 1), "forgotten")
+        .when(trashed & (n > 0) & F.col("first"), "untrashed")
+        .when(trashed & (n == 0) & F.col("first"), "forgotten")
         .when(trashed & (n == 0), "unknown")
         .otherwise("already_active")
     )
-    joined = files.withColumn("nth", nth).join(assets.select("hash", "status"), "hash", "left").join(counts, "hash", "left")
-    return joined.withColumn("outcome", kind).drop("nth", "status", "instances")
+    joined = _first(files, "hash", F.col("rel")).join(assets.select("hash", "status"), "hash", "left").join(counts, "hash", "left")
+    return joined.withColumn("outcome", kind).drop("first", "status", "instances")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
