@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prismcat.plans.ship import ship
@@ -18,6 +18,10 @@ from prismcat.plans.ship import ship
 DEPENDENTS = {"file_instances": "asset_id", "phash": "asset_id", "vphash": "asset_id", "embeddings": "asset_id", "edges_a": "asset_a", "edges_b": "asset_b"}
 
 
+class Conflict(RuntimeError):
+    """Another writer has the version that this one wanted."""
+
+
 class Store:
     """A catalog below a folder of any store that Spark writes to."""
 
@@ -58,9 +62,31 @@ class Store:
         """A table as of a version."""
         return self.spark.read.parquet(f"{self.base}/{self.tables(version)[name]}")
 
+    def _claim(self, version: int) -> None:
+        """Make a version ours: its claim can be created once, so of two writers one fails before it writes anything."""
+        path = self._path(f"v={version:06d}/CLAIM")
+        try:
+            self._fs.create(path, False).close()
+        except Exception as e:  # noqa: BLE001  the file system's own error, whatever its kind
+            raise Conflict(f"version {version} is being written") from e
+
+    def abandon(self) -> None:
+        """Drop what a writer that died left beyond the current version, its claim too."""
+        for status in self._fs.listStatus(self._path("")):
+            name = status.getPath().getName()
+            if name.startswith("v=") and int(name[2:]) > self.version():
+                self._fs.delete(status.getPath(), True)
+
+    def backup(self, label: str) -> str:
+        """Keep the current version under a name that says why; its tables stay as they are."""
+        rel = f"BACKUP-{label}-v{self.version():06d}.json"
+        self._write(rel, json.dumps({"version": self.version(), "tables": self.tables()}, sort_keys=True))
+        return rel
+
     def commit(self, changed: dict[str, DataFrame]) -> int:
-        """Write the changed tables and make them and all others the new version."""
+        """Write the changed tables and make them and all others the new version; ``Conflict`` if another writer is at it."""
         v = self.version() + 1
+        self._claim(v)
         places = self.tables()
         for name, df in changed.items():
             places[name] = f"v={v:06d}/{name}"
@@ -105,23 +131,25 @@ def placed_names(incoming: DataFrame, taken: DataFrame) -> DataFrame:
     """Where copies go: ``incoming`` (folder, name, hash) against ``taken`` (folder, name, hash).
 
     A name that is free is used; one that the same content has is reused; otherwise the first free ``stem (n).ext``
-    counts up, each incoming file taking the next one.  Gives placed and reused.
+    counts up, each incoming file taking the next one.  Gives placed and reused.  Free numbers come from the gaps between
+    used ones, a row per gap, so no folder's names are gathered.
     """
     stem = lambda c: F.regexp_replace(c, r"( \(\d+\))?(\.[^.]*)?$", "")
     tail = lambda c: F.regexp_extract(c, r"(\.[^.]*)$", 1)
-    number = F.regexp_extract("name", r" \((\d+)\)(\.[^.]*)?$", 1).try_cast("int")
-    used = taken.groupBy("folder", stem(F.col("name")).alias("stem"), tail(F.col("name")).alias("tail")).agg(
-        F.collect_set(F.coalesce(number, F.lit(0))).alias("used"), F.collect_set(F.struct("hash", "name")).alias("have")
-    )
-    from pyspark.sql import Window
-
-    rows = incoming.withColumn("stem", stem(F.col("name"))).withColumn("tail", tail(F.col("name"))).join(used, ["folder", "stem", "tail"], "left")
-    same = F.expr("filter(have, x -> x.hash = hash)")
-    rows = rows.withColumn("reused", F.coalesce(F.size(same) > 0, F.lit(False))).withColumn("old", F.when(F.col("reused"), F.expr("array_min(transform(filter(have, x -> x.hash = hash), x -> x.name))")))
-    nth = F.row_number().over(Window.partitionBy("folder", "stem", "tail", "reused").orderBy("hash", "name"))
-    held = F.coalesce("used", F.array().cast("array<int>"))
-    free = F.element_at(F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(held) + F.col("nth")), held)), F.col("nth"))
+    number = F.coalesce(F.regexp_extract("name", r" \((\d+)\)(\.[^.]*)?$", 1).try_cast("int"), F.lit(0))
+    keys = ["folder", "stem", "tail"]
+    have = taken.select("folder", stem(F.col("name")).alias("stem"), tail(F.col("name")).alias("tail"), number.alias("number"), "hash", "name")
+    old = have.groupBy(*keys, "hash").agg(F.min("name").alias("old"))
+    rows = incoming.select("folder", "name", "hash", stem(F.col("name")).alias("stem"), tail(F.col("name")).alias("tail")).join(old, [*keys, "hash"], "left")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("hash", "name"))
+    fresh = rows.where("old IS NULL").withColumn("nth", nth)
+    # before the k-th used number (from 0) lie number - k free ones: the nth free number is nth - 1 + the used ones before it
+    used = have.select(*keys, "number").distinct()
+    free_before = F.col("number") - (F.row_number().over(Window.partitionBy(*keys).orderBy("number")) - 1)
+    steps = used.withColumn("free", free_before).groupBy(*keys, "free").agg(F.count(F.lit(1)).alias("held"))
+    upto = steps.withColumn("taken_by", F.sum("held").over(Window.partitionBy(*keys).orderBy("free"))).select(*keys, "free", "taken_by")
+    at = fresh.join(upto, keys, "left").where("free IS NULL OR free < nth").groupBy(*keys, "name", "hash", "nth").agg(F.max("taken_by").alias("taken_by"))
+    free = fresh.join(at, [*keys, "name", "hash", "nth"], "left").withColumn("free", F.col("nth") - 1 + F.coalesce("taken_by", F.lit(0)))
     name = F.concat("stem", F.when(F.col("free") > 0, F.concat(F.lit(" ("), F.col("free"), F.lit(")"))).otherwise(""), F.col("tail"))
-    return (
-        rows.withColumn("nth", nth).withColumn("free", F.when(~F.col("reused"), free)).withColumn("placed", F.coalesce("old", name)).select("folder", "name", "hash", "placed", "reused")
-    )
+    given = free.select("folder", "name", "hash", name.alias("placed"), F.lit(False).alias("reused"))
+    return given.unionByName(rows.where("old IS NOT NULL").select("folder", "name", "hash", F.col("old").alias("placed"), F.lit(True).alias("reused")))
