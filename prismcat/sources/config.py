@@ -11,7 +11,7 @@ from prismcat.functions.exprs import CODEC_WEIGHTS
 
 @dataclass(frozen=True)
 class Config:
-    """The engine's thresholds."""
+    """The engine's thresholds.  Names and defaults are fixed values: they must equal those of existing settings files."""
 
     mtime_tolerance_s: float = 2.0
     t_photo_recompress: int = 10
@@ -26,7 +26,7 @@ class Config:
     min_frame_quality: int = 50
     min_comparable_frames: int = 5
     low_quality_hint: int = 50
-    include_raw: bool = True
+    include_raw: bool = False
     codec_weights: dict[str, float] = field(default_factory=lambda: dict(CODEC_WEIGHTS))
 
 

@@ -19,13 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from prismcat.functions.exprs import JUNK_NAMES, PHOTO, RAW, VIDEO, glob_regex
+from prismcat.functions.exprs import BUILTIN_GLOBS, JUNK_NAMES, PHOTO, RAW, REVIEW_DIR, VIDEO, glob_regex
 
 SCHEMA = "kind string, path string, rel string, size long, mtime double, reason string"
 
 
 def _rules(patterns: list[str]) -> list[tuple[re.Pattern, bool]]:
-    return [(re.compile(regex.replace("\\z", "\\Z")), dirs) for regex, dirs in map(glob_regex, patterns)]
+    """Compiled rules, the built-in ones first; blank patterns mean nothing."""
+    given = [p for p in (*BUILTIN_GLOBS, *patterns) if p.strip()]
+    return [(re.compile(regex.removesuffix("\\z") + "\\Z"), dirs) for regex, dirs in map(glob_regex, given)]
+
+
+def _pruned(rel: str, rules) -> bool:
+    return os.path.basename(rel) == REVIEW_DIR or any(r.match(rel) or (not dirs and r.match(f"{rel}/\x00")) for r, dirs in rules)
 
 
 def _ext(name: str) -> str:
@@ -45,7 +51,7 @@ def entry(path: str, rel: str, raw: bool, rules, info: os.stat_result) -> tuple
     return ("junk" if why else "file", path, rel, info.st_size, info.st_mtime, why)
 
 
-def walk(root: str, start: str, patterns: list[str], raw: bool = True) -> Iterator[tuple]:
+def walk(root: str, start: str, patterns: list[str], raw: bool = False) -> Iterator[tuple]:
     """Rows of everything below ``start``, a folder relative to ``root``; ``.`` is the root's own files only."""
     rules = _rules(patterns)
     stack, deep = [start], start != "."
@@ -66,7 +72,7 @@ def walk(root: str, start: str, patterns: list[str], raw: bool = True) -> Iterat
                 yield ("suppressed", path, rel, None, None, type(e).__name__)
                 continue
             if stat.S_ISDIR(info.st_mode):
-                if any(r.match(rel) or (not dirs and r.match(f"{rel}/x")) for r, dirs in rules):
+                if _pruned(rel, rules):
                     yield ("suppressed", path, rel, None, None, "ignored")
                 elif deep:
                     stack.append(rel)
@@ -83,7 +89,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["root"]
         self.patterns = json.loads(options.get("ignore", "[]"))
-        self.raw = options.get("raw", "true") == "true"
+        self.raw = options.get("raw", "false") == "true"
 
     def partitions(self):
         try:
@@ -91,7 +97,7 @@ class _Reader(DataSourceReader):
         except OSError:
             return [_Folder(None)]
         rules = _rules(self.patterns)
-        folders = [n for n in names if os.path.isdir(os.path.join(self.root, n)) and not any(r.match(n) or (not d and r.match(f"{n}/x")) for r, d in rules)]
+        folders = [n for n in names if os.path.isdir(os.path.join(self.root, n)) and not _pruned(n, rules)]
         return [_Folder("."), *map(_Folder, folders)]
 
     def read(self, partition):
@@ -115,7 +121,7 @@ class FileWalk(DataSource):
         return _Reader(self.options)
 
 
-def listing(spark: SparkSession, root: str, ignore: list[str] = (), raw: bool = True) -> DataFrame:
+def listing(spark: SparkSession, root: str, ignore: list[str] = (), raw: bool = False) -> DataFrame:
     """Everything below a root."""
     from prismcat.plans.ship import ship
 
