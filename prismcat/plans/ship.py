@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _sent:
         return
     root = Path(__file__).resolve().parent.parent
-    path = Path(tempfile.mkdtemp()) / f"{root.name}-sources.zip"
+    folder = tempfile.mkdtemp()  # on the driver only, which serves the file; it goes with the process
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / f"{root.name}-sources.zip"
     with zipfile.ZipFile(path, "w") as out:
         for p in sorted(root.rglob("*.py")):
             out.write(p, p.relative_to(root.parent))
