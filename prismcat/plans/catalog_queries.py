@@ -2,38 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismcat.functions import exprs as X
 from prismcat.operators import match, rank, reconcile
 from prismcat.operators.cluster import connected_components
+from prismcat.plans import jobs as J
+from prismcat.plans.registry import ORACLE_SQL, QUERIES, query
 from prismcat.plans.scratch import Scratch, numbered
 from prismcat.sources import catalog as C
 from prismcat.sources.catalog import table
 
-QUERIES: dict[str, Callable] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name."""
-
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE_SQL[fn.__name__] = sql
-        return fn
-
-    return add
-
-
 # --- near-duplicate photos -------------------------------------------------------------------------------------------
 
 LANES = ["l0", "l1"]
 RECOMPRESS, EDIT = 17, 19
+#: Queries of a search that go together.
+QUERY_BLOCK = 1024
 
 
 def _edges(spark, sf_dir: str) -> DataFrame:
@@ -71,33 +57,38 @@ def near_dup_components(spark, sf_dir: str) -> DataFrame:
     return connected_components(_edges(spark, sf_dir)).select(F.col("node").alias("id"), "component")
 
 
-@query(f"""WITH RECURSIVE {_GROUPS}, named AS (SELECT g.*, label % 2 AS is_external FROM grp g JOIN sig ON sig.id = g.id)
-  SELECT group_no, member_no, id, printf('group%04d_%04d', group_no, member_no) || CASE WHEN is_external = 1 THEN '_external' ELSE '' END || '.lnk' AS shortcut FROM named""")
-def near_dup_groups_numbered(spark, sf_dir: str) -> DataFrame:
-    sig = C.signatures(spark, sf_dir).select("id", "label")
-    name = F.concat(F.format_string("group%04d_%04d", "group_no", "member_no"), F.when(F.col("label") % 2 == 1, "_external").otherwise(""), F.lit(".lnk"))
-    return match.groups(_edges(spark, sf_dir)).join(sig, "id").select("group_no", "member_no", "id", name.alias("shortcut"))
+FORMATS = ("png", "heic", "jpg", "cr2")
 
 
 def _members(spark, sf_dir: str) -> DataFrame:
-    """Group members with the fields that rank photos."""
+    """Group members with the fields that rank photos: pixels, format rank of the path, size."""
     sig = C.signatures(spark, sf_dir).select("id", (F.col("label") % 2).alias("is_external"))
-    part = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("id"), (F.col("p_size") % 4).alias("pixels"), (F.col("p_partkey") % 3).alias("format"), (F.floor("p_retailprice") % 5).cast("long").alias("size")
-    )
-    path = F.concat(F.lit("/p/"), F.lpad(F.col("id").cast("string"), 8, "0"))
-    return match.groups(_edges(spark, sf_dir)).join(sig, "id").join(part, "id").withColumn("path", path)
+    ext = F.element_at(F.array(*[F.lit(x) for x in FORMATS]), (F.col("id") % 4 + 1).cast("int"))
+    path = F.concat(F.lit("/p/"), F.lpad(F.col("id").cast("string"), 8, "0"), F.lit("."), ext)
+    pixels = F.coalesce(F.col("p_size") % 4, F.lit(0)) * F.when(F.col("p_partkey") % 9 != 0, F.lit(3)).otherwise(0)
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), pixels.cast("long").alias("pixels"), (F.floor("p_retailprice") % 5).cast("long").alias("size"))
+    rows = match.groups(_edges(spark, sf_dir)).join(sig, "id").join(part, "id").withColumn("path", path)
+    return rows.withColumn("format", X.format_rank(F.col("path")))
 
 
 KEYS, LABELS = ["pixels", "format", "size"], ["resolution", "format", "size"]
 _MEMBERS = f"""{_GROUPS}, member AS (
-  SELECT g.*, label % 2 AS is_external, p_size % 4 AS pixels, p_partkey % 3 AS format, (floor(p_retailprice) % 5)::BIGINT AS size, '/p/' || lpad(g.id::VARCHAR, 8, '0') AS path
+  SELECT g.*, label % 2 AS is_external, (p_size % 4 * CASE WHEN p_partkey % 9 <> 0 THEN 3 ELSE 0 END)::BIGINT AS pixels, [2, 1, 0, 2][(g.id % 4 + 1)::INT] AS format,
+         (floor(p_retailprice) % 5)::BIGINT AS size, '/p/' || lpad(g.id::VARCHAR, 8, '0') || '.' || ['png', 'heic', 'jpg', 'cr2'][(g.id % 4 + 1)::INT] AS path
   FROM grp g JOIN sig ON sig.id = g.id JOIN part ON p_partkey = g.id),
   led AS (SELECT *, (row_number() OVER (PARTITION BY group_no ORDER BY pixels DESC, format DESC, size DESC, is_external DESC, path) = 1)::INT AS is_lead,
          count(*) OVER (PARTITION BY group_no, pixels) AS n1, count(*) OVER (PARTITION BY group_no, pixels, format) AS n2, count(*) OVER k AS n3,
          min(is_external) OVER k <> max(is_external) OVER k AS split_ FROM member WINDOW k AS (PARTITION BY group_no, pixels, format, size))"""
 
 
+@query(f"""WITH RECURSIVE {_MEMBERS} SELECT group_no, member_no, id, printf('group%04d_%04d', group_no, member_no) || CASE WHEN is_lead = 1 THEN '_suggested' ELSE '' END
+  || CASE WHEN is_external = 1 THEN '_external' ELSE '' END || '.lnk' AS shortcut FROM led""")
+def near_dup_groups_numbered(spark, sf_dir: str) -> DataFrame:
+    led = rank.leads(_members(spark, sf_dir), KEYS, "is_external")
+    name = X.group_shortcut(F.col("group_no"), F.col("member_no"), F.col("is_lead"), F.col("is_external"))
+    return led.select("group_no", "member_no", "id", name.alias("shortcut"))
+
+
 @query(f"WITH RECURSIVE {_MEMBERS} SELECT group_no, id, is_lead FROM led")
 def keep_lead_photo(spark, sf_dir: str) -> DataFrame:
     return rank.leads(_members(spark, sf_dir), KEYS, "is_external").select("group_no", "id", "is_lead")
@@ -161,22 +152,27 @@ def review_histogram_photo(spark, sf_dir: str) -> DataFrame:
   SELECT target, (min(struct_pack(d := distance, m := match))).m AS match, min(distance) AS distance FROM e WHERE distance <= 22 GROUP BY target""")
 def cleanup_perceptual(spark, sf_dir: str) -> DataFrame:
     sig = C.signatures(spark, sf_dir)
-    found = match.cross_edges(sig.where("label % 2 = 0"), sig.where("label % 2 = 1"), LANES, 22)
+    found = match.cross_edges(sig.where("label % 2 = 0"), sig.where("label % 2 = 1"), LANES, 22, bits=32)
     return found.groupBy("target").agg(F.min_by("match", F.struct("distance", "match")).alias("match"), F.min("distance").alias("distance"))
 
 
-@query("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 5), s AS (
+@query("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0), s AS (
     SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[])
            / (sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_inner_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[]))) AS cosine
     FROM q JOIN embeddings c ON c.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, vec_id) AS rank FROM s)
   SELECT query_id, rank, vec_id, round(cosine, 6) AS cosine FROM r WHERE rank <= 10""")
 def embedding_topk(spark, sf_dir: str) -> DataFrame:
-    """Nearest ten by cosine of five given vectors: the queries are few by definition and broadcast."""
+    """Nearest ten by cosine of every 50th vector against all, in blocks of queries: each block meets every vector once."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    cosine = dot("q", "embedding") / (F.sqrt(dot("q", "q")) * F.sqrt(dot("embedding", "embedding")))
-    scored = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).withColumn("cosine", cosine)
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.sqrt(dot("embedding", "embedding")).alias("norm"))
+    asked = e.where("vec_id % 50 = 0")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    q = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("norm").alias("q_norm"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
+    # a block of queries is built as a hash table; salting by the vector spreads the work of one block
+    salts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = e.withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(salts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    scored = rows.join(q.hint("shuffle_hash"), ["block", "salt"]).where("vec_id <> query_id").withColumn("cosine", dot("q", "embedding") / (F.col("q_norm") * F.col("norm")))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("cosine", 9).desc(), "vec_id"))
     return scored.withColumn("rank", nth).where("rank <= 10").select("query_id", "rank", "vec_id", F.round("cosine", 6).alias("cosine"))
 
@@ -231,7 +227,7 @@ def quality_min_gated(spark, sf_dir: str) -> DataFrame:
 
 @query("""WITH m AS (SELECT l_orderkey AS group_no, (l_linenumber % 2) AS pixels, floor(l_extendedprice)::BIGINT AS size, l_quantity AS dur, l_partkey, l_suppkey, l_linenumber,
       concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INT, strftime(l_shipdate, '%Y%m%d'), floor(l_extendedprice)::BIGINT) AS path,
-      CASE l_partkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 2.0 WHEN 2 THEN 1.5 ELSE 1.0 END::DOUBLE AS weight FROM lineitem WHERE l_orderkey % 4 = 0),
+      CASE l_partkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 2.0 WHEN 2 THEN 1.5 ELSE 1.0 END::DOUBLE AS weight FROM lineitem),
   e AS (SELECT *, size / dur * weight AS eff FROM m), k AS (SELECT *, CASE WHEN eff <= 0 THEN -1 ELSE round_even(ln(eff) / ln(1.1), 0) END::BIGINT AS band FROM e),
   l AS (SELECT *, row_number() OVER (PARTITION BY group_no ORDER BY pixels DESC, band DESC, weight DESC, eff DESC, path) AS nth, count(*) OVER (PARTITION BY group_no, pixels) AS n1,
       count(*) OVER (PARTITION BY group_no, pixels, band) AS n2, count(*) OVER (PARTITION BY group_no, pixels, band, weight) AS n3, count(*) OVER (PARTITION BY group_no, pixels, band, weight, eff) AS n4 FROM k)
@@ -241,7 +237,7 @@ def keep_lead_video(spark, sf_dir: str) -> DataFrame:
     size = F.floor("l_extendedprice").cast("long")
     codec = F.element_at(F.array(*[F.lit(c) for c in ("h264", "hevc", "vp9", "unknown")]), (F.col("l_partkey") % 4 + 1).cast("int"))
     path = F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"), F.date_format(F.col("l_shipdate").cast("date"), "yyyyMMdd"), size)
-    m = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").select(
+    m = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("group_no"), (F.col("l_linenumber") % 2).alias("pixels"), size.alias("size"), F.col("l_quantity").alias("dur"), path.alias("path"), X.codec_weight(codec).alias("weight")
     )
     m = m.withColumn("eff", X.effective_rate(F.col("size"), F.col("dur"), F.col("weight"))).withColumn("band", X.log_band(F.col("eff"), 10.0))
@@ -263,10 +259,10 @@ _EXACT = f"""{C.CONTENTS}, f AS (SELECT hash AS asset_id, path, mtime, is_extern
   plan AS (SELECT asset_id, path, is_external, CASE WHEN has_ext = 1 THEN 'exact-external' ELSE 'exact-internal' END AS reason, survivor FROM d WHERE nth > 1 AND is_external = 0)"""
 
 
-@query(f"WITH {_EXACT} SELECT *, lpad(row_number() OVER (ORDER BY asset_id, path)::VARCHAR, 6, '0') || '.lnk' AS shortcut FROM plan")
+@query(f"WITH {_EXACT} SELECT *, printf('%03d.lnk', row_number() OVER (ORDER BY asset_id, path)) AS shortcut FROM plan")
 def exact_plan_default(spark, sf_dir: str) -> DataFrame:
     rows = numbered(_exact(spark, sf_dir, False), ["asset_id", "path"], "nth")
-    return rows.withColumn("shortcut", F.concat(F.lpad(F.col("nth").cast("string"), 6, "0"), F.lit(".lnk"))).drop("nth")
+    return rows.withColumn("shortcut", X.shortcut(F.col("nth"), 3)).drop("nth")
 
 
 @query(f"""WITH {_EXACT}, i AS (SELECT *, row_number() OVER o AS nth2, first_value(path) OVER o AS survivor2 FROM f WHERE has_int = 1 AND n > 1
@@ -316,11 +312,24 @@ def merge_dry_counts(spark, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {_INCOMING}, s AS (SELECT *, CASE WHEN class = 'new' THEN CASE WHEN rel LIKE '%3' THEN 'copied-unindexed' ELSE 'registered' END ELSE 'skipped' END AS state FROM cls)
-  SELECT state, count(*) AS n, string_agg(rel, ',' ORDER BY rel) AS files FROM s GROUP BY state""")
+# a copy goes to the folder of its source; what the destination's rules ignore is copied, but not indexed
+_PROGRESS = f"""{_INCOMING}, s AS (SELECT rel, CASE WHEN class <> 'new' THEN 'skipped' WHEN regexp_matches(rel, '(?i)^/(?:.*/)?[^/]*[37]$') THEN 'copied-unindexed' ELSE 'registered' END AS state FROM cls)"""
+
+
+def _progress(spark, sf_dir: str) -> DataFrame:
+    ignored = X.ignored(F.substring("rel", F.lit(2), F.length("rel")), ["*[37]"])
+    state = F.when(F.col("class") != "new", "skipped").when(ignored, "copied-unindexed").otherwise("registered")
+    return _classified(spark, sf_dir).select("rel", state.alias("state"))
+
+
+@query(f"WITH {_PROGRESS} SELECT rel, state FROM s")
+def merge_register(spark, sf_dir: str) -> DataFrame:
+    return _progress(spark, sf_dir)
+
+
+@query(f"WITH {_PROGRESS} SELECT state, regexp_replace(rel, '/[^/]*$', '') AS folder, count(*) AS n FROM s GROUP BY ALL")
 def merge_progress_summary(spark, sf_dir: str) -> DataFrame:
-    state = F.when(F.col("class") == "new", F.when(F.col("rel").endswith("3"), "copied-unindexed").otherwise("registered")).otherwise("skipped")
-    return _classified(spark, sf_dir).withColumn("state", state).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("rel")), ",").alias("files"))
+    return _progress(spark, sf_dir).groupBy("state", F.regexp_replace("rel", "/[^/]*$", "").alias("folder")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {C.memory_sql("doc_id % 7 <> 0")}, box AS (SELECT hash, path AS rel, row_number() OVER (PARTITION BY hash ORDER BY path) AS nth FROM content WHERE doc_id % 7 = 0)
@@ -357,9 +366,11 @@ def cleanup_undecodable(spark, sf_dir: str) -> DataFrame:
     return _with_assets(spark, sf_dir).where("status = 'active' AND undecodable = 1").select("asset_id", "path")
 
 
-@query(f"WITH {_IA} SELECT root_id, count(*) AS n, count(*) FILTER (size % 2 = 0) AS on_network FROM ia WHERE status = 'trashed' GROUP BY root_id")
+@query(f"WITH {_IA} SELECT root_id, count(*) AS n, count(*) FILTER (root_id = 5) AS on_network FROM ia WHERE status = 'trashed' GROUP BY root_id")
 def cleanup_preview(spark, sf_dir: str) -> DataFrame:
-    return _with_assets(spark, sf_dir).where("status = 'trashed'").groupBy("root_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("size") % 2 == 0).alias("on_network"))
+    """Files that a cleanup would delete, and how many of them have no recycle bin: here one root is a network share."""
+    path = F.when(F.col("root_id") == 5, F.concat(F.lit("\\\\nas"), F.translate("path", "/", "\\"))).otherwise(F.col("path"))
+    return _with_assets(spark, sf_dir).where("status = 'trashed'").groupBy("root_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(X.is_network(path)).alias("on_network"))
 
 
 # --- a listing against the catalog -----------------------------------------------------------------------------------
@@ -368,8 +379,14 @@ _FAST = f"""{C.LISTING}, fast AS (SELECT l.*, coalesce(l.size = e.size AND abs(l
     FROM listing l LEFT JOIN existing e ON e.root_id = l.root_id AND e.path = l.path)"""
 
 
+def _state(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The catalog's instances, written once, and a later listing of the same roots."""
+    known = Scratch(spark, "existing").write(C.existing(spark, sf_dir), "existing")
+    return known, C.listing(known)
+
+
 def _fast(spark, sf_dir: str) -> DataFrame:
-    return reconcile.fastpath(C.existing(spark, sf_dir), C.listing(spark, sf_dir))
+    return reconcile.fastpath(*_state(spark, sf_dir))
 
 
 @query(f"WITH {_FAST} SELECT root_id, path, hit FROM fast")
@@ -382,38 +399,44 @@ def probe_new_count(spark, sf_dir: str) -> DataFrame:
     return _fast(spark, sf_dir).groupBy("root_id").agg(F.count_if(~F.col("hit")).alias("new_or_changed"))
 
 
-_MOVES = f"""{C.LISTING}, absent AS (SELECT * FROM listing l WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e.root_id = l.root_id AND e.path = l.path)),
-  a1 AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY root_id, filename, size) AS n FROM absent) WHERE n = 1),
-  e1 AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY root_id, filename, size) AS n FROM existing) WHERE n = 1),
-  moved AS (SELECT e.fid, e.path AS old_path, a.path AS new_path FROM e1 e JOIN a1 a ON a.root_id = e.root_id AND a.filename = e.filename AND a.size = e.size
-    WHERE e.status = 'active' AND e.complete AND abs(e.mtime - a.mtime) <= 2.0 AND NOT EXISTS (SELECT 1 FROM listing l WHERE l.root_id = e.root_id AND l.path = e.path)),
-  removed AS (SELECT * FROM existing e WHERE NOT EXISTS (SELECT 1 FROM listing l WHERE l.root_id = e.root_id AND l.path = e.path)
+_MOVES = f"""{C.LISTING}, absent AS (SELECT * FROM listing l WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e.root_id = l.root_id AND lower(e.path) = lower(l.path))),
+  a1 AS (SELECT root_id, lower(filename) AS name, size, min(path) AS path, min(mtime) AS mtime FROM absent GROUP BY ALL HAVING count(*) = 1),
+  e1 AS (SELECT * FROM (SELECT *, lower(filename) AS name, count(*) OVER (PARTITION BY root_id, lower(filename), size) AS n FROM existing) WHERE n = 1),
+  moved AS MATERIALIZED (SELECT e.fid, e.path AS old_path, a.path AS new_path FROM e1 e JOIN a1 a ON a.root_id = e.root_id AND a.name = e.name AND a.size = e.size
+    WHERE e.status = 'active' AND e.complete AND abs(e.mtime - a.mtime) <= 2.0 AND e.root_id <> 5
+      AND NOT EXISTS (SELECT 1 FROM listing l WHERE l.root_id = e.root_id AND lower(l.path) = lower(e.path))),
+  removed AS MATERIALIZED (SELECT * FROM existing e WHERE NOT EXISTS (SELECT 1 FROM listing l WHERE l.root_id = e.root_id AND l.path = e.path)
     AND NOT EXISTS (SELECT 1 FROM moved m WHERE m.fid = e.fid) AND NOT (e.root_id = 5))"""
 
 
-def _moves(spark, sf_dir: str) -> DataFrame:
-    return reconcile.moves(C.existing(spark, sf_dir), C.listing(spark, sf_dir))
+def _suppressed(spark) -> DataFrame:
+    return spark.createDataFrame([(5, "/r5/")], "root_id int, dir string")
+
+
+def _moves(spark, known: DataFrame, found: DataFrame) -> DataFrame:
+    return reconcile.moves(known, found, suppressed=_suppressed(spark), fold=True)
 
 
-def _removed(spark, sf_dir: str) -> DataFrame:
-    suppressed = spark.createDataFrame([(5, "/r5/")], "root_id int, dir string")
-    return reconcile.gone(C.existing(spark, sf_dir), C.listing(spark, sf_dir), _moves(spark, sf_dir), suppressed)
+def _removed(spark, known: DataFrame, found: DataFrame) -> DataFrame:
+    gone = reconcile.gone(known, found, _moves(spark, known, found), _suppressed(spark))
+    return Scratch(spark, "removed").write(gone.select("root_id", "path", "fid", "asset_id"), "removed")
 
 
 @query(f"WITH {_MOVES} SELECT fid, old_path, new_path FROM moved")
 def move_plan(spark, sf_dir: str) -> DataFrame:
-    return _moves(spark, sf_dir)
+    return _moves(spark, *_state(spark, sf_dir))
 
 
 @query(f"WITH {_MOVES} SELECT root_id, path FROM removed")
 def deletions(spark, sf_dir: str) -> DataFrame:
-    return _removed(spark, sf_dir).select("root_id", "path")
+    return _removed(spark, *_state(spark, sf_dir)).select("root_id", "path")
 
 
 @query(f"""WITH {_MOVES} SELECT asset_id FROM assets a WHERE status = 'active' AND asset_id IN (SELECT asset_id FROM removed)
   AND asset_id NOT IN (SELECT asset_id FROM existing e WHERE e.fid NOT IN (SELECT fid FROM removed))""")
 def orphans(spark, sf_dir: str) -> DataFrame:
-    return reconcile.orphans(C.assets(spark, sf_dir), C.existing(spark, sf_dir), _removed(spark, sf_dir)).select("asset_id")
+    known, found = _state(spark, sf_dir)
+    return reconcile.orphans(C.assets(spark, sf_dir), known, _removed(spark, known, found)).select("asset_id")
 
 
 _OUT = f"""{C.memory_sql("doc_id % 3 <> 0")}, o AS (SELECT c.doc_id, source, CASE WHEN n_chars % 41 = 0 THEN 'undecodable' WHEN status = 'trashed' THEN 'matches_trashed' WHEN status = 'active' THEN 'exact_dup'
@@ -512,11 +535,17 @@ def lifetime_json_sum(spark, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT event_type, (user_id % 4)::INT AS bucket, round(sum(value), 2) AS seconds, count(*) AS n, CASE WHEN sum(CASE WHEN event_id % 2 = 0 THEN value END) > 1.5 * sum(CASE WHEN event_id % 2 = 1 THEN value END)
-  THEN 'idle' WHEN sum(CASE WHEN event_id % 2 = 1 THEN value END) > 1.5 * sum(CASE WHEN event_id % 2 = 0 THEN value END) THEN 'blocked' ELSE 'balanced' END AS verdict FROM events GROUP BY ALL""")
+  THEN 'idle' WHEN sum(CASE WHEN event_id % 2 = 1 THEN value END) > 1.5 * sum(CASE WHEN event_id % 2 = 0 THEN value END) THEN 'blocked' ELSE 'balanced' END AS verdict,
+  round(sum(event_id) / sum(value), 3) AS throughput, round(sum(value) / (epoch(max(date_trunc('second', ts)))::BIGINT - epoch(min(date_trunc('second', ts)))::BIGINT + 1), 6) AS parallelism FROM events GROUP BY ALL""")
 def profile_rollup(spark, sf_dir: str) -> DataFrame:
     even, odd = F.sum(F.when(F.col("event_id") % 2 == 0, F.col("value"))), F.sum(F.when(F.col("event_id") % 2 == 1, F.col("value")))
     verdict = F.when(even > 1.5 * odd, "idle").when(odd > 1.5 * even, "blocked").otherwise("balanced")
-    return table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 4).cast("int").alias("bucket")).agg(F.round(F.sum("value"), 2).alias("seconds"), F.count(F.lit(1)).alias("n"), verdict.alias("verdict"))
+    """Seconds by medium and bucket, bytes a second, workers busy at once on the whole, and what waits for what."""
+    busy, moved = F.sum("value"), F.sum("event_id")
+    span = C.epoch("max(ts)") - C.epoch("min(ts)") + 1
+    return table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 4).cast("int").alias("bucket")).agg(
+        F.round(busy, 2).alias("seconds"), F.count(F.lit(1)).alias("n"), verdict.alias("verdict"), F.round(moved / busy, 3).alias("throughput"), F.round(busy / span, 6).alias("parallelism")
+    )
 
 
 # --- jobs ------------------------------------------------------------------------------------------------------------
@@ -529,11 +558,11 @@ def queue_order(spark, sf_dir: str) -> DataFrame:
     return top.select("id", F.row_number().over(Window.orderBy(*order)).alias("place"))
 
 
-@query(f"WITH {C.JOBS} SELECT id, type, root_id FROM jobs WHERE status = 'queued' AND root_id NOT IN (SELECT root_id FROM jobs WHERE status = 'running' AND id < 20) ORDER BY priority DESC, enqueued_at, id LIMIT 1")
+@query(f"WITH {C.JOBS}, {C.RUNS} SELECT id, type, root_id FROM jobs WHERE status = 'queued' AND root_id NOT IN (SELECT root_id FROM runs WHERE status = 'pending') ORDER BY priority DESC, enqueued_at, id LIMIT 1")
 def first_runnable(spark, sf_dir: str) -> DataFrame:
     jobs = C.jobs(spark, sf_dir)
-    held = jobs.where("status = 'running' AND id < 20").select("root_id").distinct()
-    return jobs.where("status = 'queued'").join(held, "root_id", "left_anti").orderBy(F.col("priority").desc(), "enqueued_at", "id").limit(1).select("id", "type", "root_id")
+    held = C.runs(spark, sf_dir).where("status = 'pending'").select("root_id").distinct()
+    return J.runnable(jobs, held).select("id", "type", "root_id")
 
 
 @query(f"WITH {C.JOBS} SELECT id, type, status FROM jobs WHERE status IN ('done', 'error', 'cancelled', 'interrupted') ORDER BY id DESC LIMIT 20 OFFSET 40")
@@ -553,11 +582,13 @@ def jobs_left_roots(spark, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {C.JOBS}, {C.ROOTS_SQL}, r AS (SELECT root_id, min(id) AS review FROM jobs WHERE type = 'dedup' AND status = 'running' GROUP BY root_id),
   m AS (SELECT root_id, min(id) AS merge_ FROM jobs WHERE type = 'merge' AND status = 'running' GROUP BY root_id)
-  SELECT roots.root_id, CASE WHEN review IS NOT NULL THEN 'review' WHEN merge_ IS NOT NULL THEN 'merge' END AS holder, coalesce(review, merge_) AS id FROM roots LEFT JOIN r USING (root_id) LEFT JOIN m USING (root_id)""")
+  SELECT roots.root_id, CASE WHEN review IS NOT NULL THEN 'review' WHEN merge_ IS NOT NULL THEN 'merge' END AS holder, coalesce(review, merge_) AS id,
+    CASE WHEN review IS NOT NULL THEN 'review' END AS holder_of_a_merge FROM roots LEFT JOIN r USING (root_id) LEFT JOIN m USING (root_id)""")
 def root_holder(spark, sf_dir: str) -> DataFrame:
+    """What holds a root: a review first, then a merge; a job that may run beside its own merge looks at the last column."""
     first = lambda kind, name: C.jobs(spark, sf_dir).where(f"type = '{kind}' AND status = 'running'").groupBy("root_id").agg(F.min("id").alias(name))
     rows = C.roots(spark).join(first("dedup", "review"), "root_id", "left").join(first("merge", "merge"), "root_id", "left")
-    return rows.select("root_id", F.when(F.col("review").isNotNull(), "review").when(F.col("merge").isNotNull(), "merge").alias("holder"), F.coalesce("review", "merge").alias("id"))
+    return rows.select("root_id", F.when(F.col("review").isNotNull(), "review").when(F.col("merge").isNotNull(), "merge").alias("holder"), F.coalesce("review", "merge").alias("id"), F.when(F.col("review").isNotNull(), "review").alias("holder_of_a_merge"))
 
 
 @query(f"""WITH {C.JOBS} SELECT type || CASE WHEN json_extract_string(params_json, '$.confirm') = 'true' THEN ' (apply)' WHEN json_extract_string(params_json, '$.dry_run') = 'true' THEN ' (dry run)'
@@ -568,9 +599,7 @@ def job_labels(spark, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {C.JOBS} SELECT id, CASE WHEN status = 'running' OR (status = 'queued' AND type IN ('dedup', 'cleanup') AND coalesce(json_extract_string(params_json, '$.confirm') = 'true', false)) THEN 'interrupted' ELSE status END AS status FROM jobs""")
 def reconcile_startup(spark, sf_dir: str) -> DataFrame:
-    destructive = F.col("type").isin("dedup", "cleanup") & F.coalesce(F.get_json_object("params_json", "$.confirm") == "true", F.lit(False))
-    stops = (F.col("status") == "running") | ((F.col("status") == "queued") & destructive)
-    return C.jobs(spark, sf_dir).select("id", F.when(stops, "interrupted").otherwise(F.col("status")).alias("status"))
+    return J.restarted(C.jobs(spark, sf_dir)).select("id", "status")
 
 
 @query(f"""WITH {C.JOBS} SELECT id, CASE WHEN s >= 0 AND s < 90 THEN 'now' WHEN s >= 0 AND s < 3600 THEN (s // 60) || 'm ago' WHEN s >= 0 AND s < 21600 THEN (s // 3600) || 'h ago'
@@ -591,14 +620,14 @@ def fmt_size(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(k.alias("id"), X.fmt_size(n).alias("size"))
 
 
-@query("""WITH e AS (SELECT event_id, user_id, epoch(ts)::BIGINT AS t, event_id AS done FROM (SELECT * REPLACE (date_trunc('second', ts) AS ts) FROM events) WHERE user_id < 10),
+@query("""WITH e AS (SELECT event_id, user_id, epoch(ts)::BIGINT AS t, event_id AS done FROM (SELECT * REPLACE (date_trunc('second', ts) AS ts) FROM events)),
   w AS (SELECT *, first_value(t) OVER r AS t0, first_value(done) OVER r AS d0, lag(t) OVER o AS tp, lag(done) OVER o AS dp FROM e
     WINDOW r AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW), o AS (PARTITION BY user_id ORDER BY t, event_id)),
   s AS (SELECT *, CASE WHEN t0 = t THEN tp ELSE t0 END AS ts0, CASE WHEN t0 = t THEN dp ELSE d0 END AS ds0 FROM w)
   SELECT event_id, CASE WHEN t > ts0 AND done > ds0 THEN round((20000 - done) / ((done - ds0)::DOUBLE / (t - ts0)), 3) END AS eta_s FROM s""")
 def eta_rate(spark, sf_dir: str) -> DataFrame:
     """Remaining seconds by the rate over a trailing window; the last two samples at least."""
-    e = table(spark, sf_dir, "events").where("user_id < 10").select("event_id", "user_id", C.epoch("ts").cast("long").alias("t"), F.col("event_id").alias("done"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", C.epoch("ts").cast("long").alias("t"), F.col("event_id").alias("done"))
     window = Window.partitionBy("user_id").orderBy("t").rangeBetween(-7200, 0)
     order = Window.partitionBy("user_id").orderBy("t", "event_id")
     first_t, first_d = F.first("t").over(window), F.first("done").over(window)
@@ -726,19 +755,6 @@ def constraint_violations(spark, sf_dir: str) -> DataFrame:
 # --- snapshots and streams -------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {C.EXISTING}, new AS (SELECT root_id, path, asset_id, size + 1 AS size FROM existing WHERE l_partkey % 10 = 0), old AS (SELECT root_id, path, asset_id, size FROM existing),
-  up AS (SELECT * FROM new UNION ALL SELECT o.* FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.root_id = o.root_id AND n.path = o.path))
-  SELECT root_id, count(*) AS files, sum(size)::BIGINT AS bytes, count(DISTINCT asset_id) AS assets FROM up GROUP BY root_id""")
-def snapshot_upsert_cascade(spark, sf_dir: str) -> DataFrame:
-    """Instances upserted into a new snapshot, assets cut to those with an instance left."""
-    scratch = Scratch(spark, "snapshot")
-    cols = ["root_id", "path", "asset_id", "size"]
-    old = C.existing(spark, sf_dir)
-    new = old.where("l_partkey % 10 = 0").withColumn("size", F.col("size") + 1).select(*cols)
-    snap = scratch.write(reconcile.upsert(old.select(*cols), new, ["root_id", "path"]).select(*cols), "instances")
-    return snap.groupBy("root_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"), F.count_distinct("asset_id").alias("assets"))
-
-
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
 def probe_stream(spark, sf_dir: str) -> DataFrame:
     from prismcat.streaming.probe import run_once
