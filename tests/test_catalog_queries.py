@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import pytest
 
-from prismcat.plans.catalog_queries import ORACLE_SQL, QUERIES
+from prismcat.plans import catalog_queries, job_queries, review_queries, scan_queries, text_queries  # noqa: F401
+from prismcat.plans.registry import ORACLE_SQL, QUERIES
 from tests.compare import check, duck
 
 SF = "/root/testdata/sf0.001"
+#: Queries that find nothing in the smallest tables.
+MAY_BE_EMPTY = {"video_vote_edges", "constraint_violations"}
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +20,7 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    check(spark, con, QUERIES[name], ORACLE_SQL[name], SF)
+    assert check(spark, con, QUERIES[name], ORACLE_SQL[name], SF) > 0 or name in MAY_BE_EMPTY
 
 
 def test_entry(spark):

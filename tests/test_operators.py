@@ -233,13 +233,13 @@ def test_config():
 
 def test_sinks(spark, tmp_path):
     plan = spark.createDataFrame([("001.lnk", "/a", "exact-internal", None, 0)], "shortcut_name string, path string, reason string, survivor string, is_external int")
-    sinks.manifest(plan, f"{tmp_path}/m", sinks.EXACT_COLUMNS)
+    sinks.manifest(sinks.exact_manifest(plan.withColumn("asset_id", F.lit(7))), f"{tmp_path}/m", sinks.EXACT_COLUMNS)
     text = next((tmp_path / "m").glob("*.csv")).read_text()
-    assert text == "shortcut_name,path,reason,survivor,is_external\n001.lnk,/a,exact-internal,,0\n"
+    assert text == "shortcut,target_path,asset_id,reason,survivor_path\n001.lnk,/a,7,exact-internal,\n"
     sinks.audit(plan, f"{tmp_path}/audit")
     with pytest.raises(Exception, match="already exists"):
         sinks.audit(plan, f"{tmp_path}/audit")
-    assert sinks.safe_name("a/b:c é.txt") == "a_b_c é.txt"
+    assert spark.range(1).select(sinks.safe_name(F.lit("a/b:c é.txt"))).first()[0] == "a_b_c é.txt"
 
 
 def test_jobs(spark):
@@ -253,7 +253,7 @@ def test_jobs(spark):
     after = {r.id: r.status for r in J.changed(more, [1, 3], "done").collect()}
     assert after[1] == "queued" and after[3] == "done"
     r = J.Registry()
-    r.add("scan", lambda x: x + 1)
-    assert r.run("scan", 1) == ("done", 2) and r.run("none")[0] == "error" and r.run("scan", "a")[0] == "error"
+    r.add("scan", lambda c: c.params["x"] + 1)
+    assert r.run("scan", J.Context({"x": 1}), spark) == ("done", 2) and r.run("none", J.Context({}))[0] == "error" and r.run("scan", J.Context({"x": "a"}))[0] == "error"
     with pytest.raises(ValueError):
         r.add("scan", print)
