@@ -38,14 +38,15 @@ def _flatten(scratch: Scratch, forest: DataFrame) -> DataFrame:
             return forest
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """(node, component) for every node of an undirected edge table.
 
     ``component`` is the smallest node reachable.  Self loops and repeated
     edges change nothing (a node with only self loops is a component of its
     own); rows with a null end are ignored; an empty table gives no rows.
+    With ``scratch`` the written tables are the caller's, who may drop them.
     """
-    scratch = Scratch(edges.sparkSession, "components")
+    scratch = scratch or Scratch(edges.sparkSession, "components")
     live, left = _counted(
         scratch,
         edges.select(F.col(a).alias("_a"), F.col(b).alias("_b"))

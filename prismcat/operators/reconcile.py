@@ -27,6 +27,17 @@ def below(paths: DataFrame, folders: DataFrame) -> DataFrame:
     return keys.withColumn("_dir", F.explode(above)).join(known, ["root_id", "_dir"], "left_semi").select("root_id", "path").distinct()
 
 
+def contained(paths: DataFrame, path: str, folders: DataFrame, folder: str) -> DataFrame:
+    """``paths`` with every row of ``folders`` whose folder is the path or lies above it, by an equi join on the folders above.
+
+    Neither side need be small.  A folder's slashes at its end don't count; the root folder is above every path.
+    """
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    plain = folders.withColumn("_dir", F.regexp_replace(folder, "/+$", ""))
+    return paths.withColumn("_dir", F.explode(F.array_distinct(above))).join(plain, "_dir").drop("_dir")
+
+
 def moves(existing: DataFrame, listing: DataFrame, tolerance: float = TOLERANCE_S, suppressed: DataFrame | None = None, fold: bool = False) -> DataFrame:
     """(fid, old_path, new_path): files found under another path.
 

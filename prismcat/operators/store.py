@@ -8,6 +8,8 @@ one, never half of it.  Older versions stay as backups until they are dropped.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +31,7 @@ class Store:
         ship(spark)
         self.spark, self.base = spark, base.rstrip("/")
         self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self._open: dict[str, DataFrame] | None = None
 
     def _path(self, rel: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{rel}")
@@ -99,6 +102,40 @@ class Store:
         context.rename(self._path("CURRENT.next"), self._path("CURRENT"), how)
         return v
 
+    @contextmanager
+    def transaction(self) -> Iterator[dict[str, DataFrame]]:
+        """Tables put into the given dict are committed together when the outermost block ends well, and not at all otherwise."""
+        outermost = self._open is None
+        if outermost:
+            self._open = {}
+        try:
+            yield self._open
+            if outermost and self._open:
+                self.commit(self._open)
+        finally:
+            if outermost:
+                self._open = None
+
+    def init(self, schemas: dict[str, str], stamp: int = 1) -> None:
+        """Create the tables that are missing, add the columns that tables lack (null), and stamp the schema's version.
+
+        Done twice it changes nothing.
+        """
+        have, changed = self.tables(), {}
+        for name, schema in schemas.items():
+            want = self.spark.createDataFrame([], schema).schema
+            if name not in have:
+                changed[name] = self.spark.createDataFrame([], want)
+            elif lack := [f for f in want.fields if f.name not in self.read(name).columns]:
+                changed[name] = self.read(name).withColumns({f.name: F.lit(None).cast(f.dataType) for f in lack})
+        meta = self.spark.range(1).select(F.lit("schema_version").alias("key"), F.lit(str(stamp)).alias("value"))
+        if "meta" not in have:
+            changed["meta"] = meta
+        elif self.read("meta").where(F.col("key") == "schema_version").where(F.col("value") == str(stamp)).isEmpty():
+            changed["meta"] = self.read("meta").where(F.col("key") != "schema_version").unionByName(meta)
+        if changed:
+            self.commit(changed)
+
     def restore(self, version: int) -> int:
         """Make an older version's tables the newest version."""
         return self.commit({n: self.read(n, version) for n in self.tables(version)})

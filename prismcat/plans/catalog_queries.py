@@ -577,7 +577,7 @@ def top_interrupted(spark, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {C.JOBS}, {C.ROOTS_SQL} SELECT name, kind, status, count(*) AS n FROM jobs j LEFT JOIN roots r ON r.root_id = j.root_id GROUP BY ALL")
 def jobs_left_roots(spark, sf_dir: str) -> DataFrame:
-    return C.jobs(spark, sf_dir).join(F.broadcast(C.roots(spark)), "root_id", "left").groupBy("name", "kind", "status").agg(F.count(F.lit(1)).alias("n"))
+    return C.jobs(spark, sf_dir).join(C.roots(spark), "root_id", "left").groupBy("name", "kind", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {C.JOBS}, {C.ROOTS_SQL}, r AS (SELECT root_id, min(id) AS review FROM jobs WHERE type = 'dedup' AND status = 'running' GROUP BY root_id),
@@ -669,7 +669,7 @@ def glob_filter(spark, sf_dir: str) -> DataFrame:
 def path_within(spark, sf_dir: str) -> DataFrame:
     folders = spark.createDataFrame([("/en",), ("/fr/",), ("/e",)], "folder string")
     rows = _pages(spark, sf_dir).select("page_id", F.concat(F.lit("/"), F.col("rel")).alias("path"))
-    return rows.join(F.broadcast(folders), X.is_within(F.col("path"), F.col("folder"))).select("page_id", "folder")
+    return reconcile.contained(rows, "path", folders, "folder").select("page_id", "folder")
 
 
 @query(f"""WITH d AS (SELECT page_id, {_REL} || CASE WHEN page_id % 2 = 0 THEN '/a.jpg' ELSE '/a.txt' END AS rel FROM pages)
@@ -688,10 +688,11 @@ def junk_filter(spark, sf_dir: str) -> DataFrame:
 @query(f"""WITH {C.ROOTS_SQL}, c AS (SELECT * FROM (VALUES ('/r3/photos'), ('/r'), ('/'), ('/r1')) v(candidate))
   SELECT candidate, root_id FROM c JOIN roots ON candidate = root_path OR starts_with(candidate, root_path || '/') OR starts_with(root_path, rtrim(candidate, '/') || '/')""")
 def root_overlap(spark, sf_dir: str) -> DataFrame:
-    """Candidate folders against every root, both ways; both sides are short lists."""
+    """Candidate folders against every root, both ways."""
     candidates = spark.createDataFrame([("/r3/photos",), ("/r",), ("/",), ("/r1",)], "candidate string")
-    either = X.is_within(F.col("candidate"), F.col("root_path")) | X.is_within(F.col("root_path"), F.col("candidate"))
-    return candidates.join(F.broadcast(C.roots(spark)), either).select("candidate", "root_id")
+    inside = reconcile.contained(candidates, "candidate", C.roots(spark), "root_path").select("candidate", "root_id")
+    around = reconcile.contained(C.roots(spark), "root_path", candidates, "candidate").select("candidate", "root_id")
+    return inside.union(around).distinct()
 
 
 @query(f"""WITH {C.ROOTS_SQL}, c AS (SELECT * FROM (VALUES ('/r3'), ('root5'), ('/r6/sub'), ('nothing')) v(asked)),
@@ -700,8 +701,9 @@ def root_overlap(spark, sf_dir: str) -> DataFrame:
 def root_resolve(spark, sf_dir: str) -> DataFrame:
     """A root by path first, then by name in any case."""
     asked = spark.createDataFrame([("/r3",), ("root5",), ("/r6/sub",), ("nothing",)], "asked string")
-    by_path = X.is_within(F.col("asked"), F.col("root_path"))
-    hits = asked.join(F.broadcast(C.roots(spark)), by_path | (F.lower("asked") == F.lower("name"))).withColumn("way", F.when(by_path, 0).otherwise(1))
+    by_path = reconcile.contained(asked, "asked", C.roots(spark), "root_path").select("asked", "root_id", F.lit(0).alias("way"))
+    by_name = asked.join(C.roots(spark), F.lower("asked") == F.lower("name")).select("asked", "root_id", F.lit(1).alias("way"))
+    hits = by_path.unionByName(by_name)
     return hits.groupBy("asked").agg(F.min_by("root_id", F.struct("way", "root_id")).alias("root_id"))
 
 

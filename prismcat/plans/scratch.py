@@ -62,6 +62,16 @@ class Scratch:
                 fs.delete(p, True)
 
 
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all written tables but these."""
+        kept = {getattr(df, "_scratch_path", None) for df in tables}
+        fs, base = self._at(self.base)
+        if fs.exists(base):
+            for status in fs.listStatus(base):
+                if f"{self.base}/{status.getPath().getName()}" not in kept:
+                    fs.delete(status.getPath(), True)
+
+
 def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """``df`` with ``name``, its rows' numbers from 1 in the order of ``keys``, without gathering them in one task.
 

@@ -27,9 +27,16 @@ class Config:
     min_comparable_frames: int = 5
     low_quality_hint: int = 50
     include_raw: bool = False
+    io_workers: int = 0
+    cpu_workers: int = 0
     codec_weights: dict[str, float] = field(default_factory=lambda: dict(CODEC_WEIGHTS))
 
 
+def workers(config: Config, cores: int) -> tuple[int, int]:
+    """(readers, computers): as set, else enough readers to fill a link without disturbing a disk, and all cores but two."""
+    return config.io_workers or min(8, max(4, cores)), config.cpu_workers or max(2, cores - 2)
+
+
 def load(text: str) -> Config:
     """Settings from TOML text; tables only group keys, but ``codec_weights`` is merged over the defaults."""
     known = {f.name: f.default for f in fields(Config)}

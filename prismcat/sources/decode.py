@@ -108,6 +108,26 @@ for _ext, _decoder in (("png", png), ("ppm", netpbm), ("pgm", netpbm)):
     register(_ext, _decoder)
 
 
+def available() -> dict[str, bool]:
+    """Extensions, and whether something here can decode them."""
+    import importlib.util
+
+    from prismcat.functions.exprs import PHOTO
+
+    other = importlib.util.find_spec("PIL") is not None
+    return {e: e in _decoders or other for e in (*PHOTO, *(x for x in _decoders if x not in PHOTO))}
+
+
+def smoke(files: DataFrame) -> DataFrame:
+    """Per extension of (path, content): files, and how many could be decoded."""
+    from pyspark.sql import functions as F
+
+    from prismcat.functions.exprs import ext
+
+    made = fingerprints(files).groupBy(ext(F.col("path")).alias("ext"))
+    return made.agg(F.count(F.lit(1)).alias("files"), F.count_if(~F.col("undecodable")).alias("decoded"))
+
+
 def decode(data: bytes, ext: str) -> np.ndarray:
     """A picture as height x width x 3 bytes."""
     return _decoders.get(ext.lower(), _pillow)(data)
