@@ -201,3 +201,32 @@ def test_audit_document(spark, tmp_path):
     assert (tmp_path / "applied.json").read_text() == '{\n  "a": "é",\n  "b": 1\n}'
     with pytest.raises(FileExistsError):
         sinks.audit_document(spark, f"file://{tmp_path}", "applied.json", {})
+
+
+def test_followers_lag_and_leave():
+    from prismcat.streaming.events import BEAT, END, Fanout
+
+    fan = Fanout()
+    a, b = fan.follow(1, buffer=3), fan.follow(1)
+    for k in range(5):
+        fan.send(1, k)
+        fan.send(2, k)
+    assert [a.get(0) for _ in range(4)] == [0, 1, 2, BEAT] and a.dropped == 2
+    fan.leave(a)
+    assert a.get(0) is END
+    fan.close(1)
+    assert [b.get(0) for _ in range(6)] == [0, 1, 2, 3, 4, END]
+    fan.send(1, "late")
+
+
+def test_workers():
+    from prismcat.sources.config import Config, load, workers
+
+    assert workers(Config(), 2) == (4, 2) and workers(Config(), 16) == (8, 14) and workers(load("io_workers = 3\ncpu_workers = 5"), 16) == (3, 5)
+    assert Config().include_raw is False
+
+
+def test_smoke_of_decoders(spark):
+    df = spark.createDataFrame([("/a.ppm", bytearray(decode.sample_ppm(1))), ("/b.ppm", bytearray(b"?")), ("/c.avif", bytearray(b"?"))], "path string, content binary")
+    assert sorted(tuple(r) for r in decode.smoke(df).collect()) == [("avif", 1, 0), ("ppm", 2, 1)]
+    assert decode.available()["png"] and decode.available()["ppm"]
