@@ -353,7 +353,7 @@ def score(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "hmm")
     made = scratch.write(blocks(docs), "blocks")
     total = made.select(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    words = counted(made, total, scratch)
+    every = words = counted(made, total, scratch)
     own = words.where("first AND word IS NOT NULL").select("word", "c").collect()  # FREQUENT rows at most
     own = sorted(((-r.c, bytes(r.word)) for r in own))
     table = spark.createDataFrame([(w, ENDINGS + i) for i, (_, w) in enumerate(own)], "f binary, own int")
@@ -365,6 +365,7 @@ def score(docs: DataFrame) -> DataFrame:
         n_in[cls], v_in[cls] = n, v
     share = (n_in + ADD) / (n_in + ADD).sum()
     rows = scratch.write(coded(made, words, total, int(v_in.sum()), n_in, v_in), "coded")
+    scratch.drop(made, every)
     sent = spark.sparkContext.broadcast(trained(rows, share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
