@@ -35,7 +35,7 @@ K, SCALE, EVERY = 5, 256.0, 50
 #: Pivots, and the bounded sample of rows that they are picked from, each farthest from those before.
 PIVOTS, PIVOT_SAMPLE = 64, 4096
 #: Queries broadcast at once, vectors in a row of the pivot table, candidates that a query takes at once.
-QUERY_BLOCK, TABLE_BLOCK, STEP = 1024, 2048, 128
+QUERY_BLOCK, TABLE_BLOCK, STEP = 4096, 512, 128
 
 
 def vectors(embeddings: DataFrame, scale: float = SCALE) -> DataFrame:
