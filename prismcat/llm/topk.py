@@ -36,6 +36,8 @@ K, SCALE, EVERY = 5, 256.0, 50
 PIVOTS, PIVOT_SAMPLE = 64, 4096
 #: Queries broadcast at once, vectors in a row of the pivot table, candidates that a query takes at once.
 QUERY_BLOCK, TABLE_BLOCK, STEP = 4096, 512, 128
+#: Queries that go together within a block.
+ROWS = 64
 
 
 def vectors(embeddings: DataFrame, scale: float = SCALE) -> DataFrame:
@@ -121,18 +123,30 @@ def best(scores, limits, ids, k: int):
 
 
 def search_block(qid: np.ndarray, qx: np.ndarray, qfar: np.ndarray, floor: np.ndarray, ids: np.ndarray, x: np.ndarray, far: np.ndarray, held, k: int, seen: list | None = None):
-    """Improve ``held`` (query position, score, id) and ``floor`` (k-th score, or less) by a block of candidates.
+    """Improve ``held`` (query position ascending, score, id) and ``floor`` (k-th score, or less) by a block of candidates.
 
-    Each query takes the candidates in the order of its own bounds, ``STEP`` at a time, and stops at the first bound
-    below its floor.  ``seen``, if given, gets the number of pairs evaluated.
+    ``seen``, if given, gets the numbers of pairs evaluated.  Queries go ``ROWS`` at a time, what a processor's cache holds.
     """
-    bound = np.zeros((len(qid), len(ids)))
+    size, out = (x * x).sum(1), []
+    for a in range(0, len(qid), ROWS):
+        rows = slice(a, a + ROWS)
+        lo, hi = np.searchsorted(held[0], [a, a + ROWS])
+        q, s, i = (h[lo:hi] for h in held)
+        q, s, i = _search_rows(qid[rows], qx[rows], qfar[rows], floor[rows], ids, x, size, far, (q - a, s, i), k, seen)
+        out.append((q + a, s, i))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else held
+
+
+def _search_rows(qid, qx, qfar, floor, ids, x, size, far, held, k, seen):
+    """Each query takes the candidates in the order of its own bounds, ``STEP`` at a time, and stops at the first bound below its floor."""
+    bound, gap = np.zeros((len(qid), len(ids))), np.empty((len(qid), len(ids)))
     for p in range(far.shape[1]):
-        np.maximum(bound, np.abs(qfar[:, p, None] - far[None, :, p]), out=bound)
+        np.subtract(qfar[:, p, None], far[None, :, p], out=gap)
+        np.maximum(bound, np.abs(gap, out=gap), out=bound)
     # half a unit covers the rounding of the distances
-    bound = ((qx * qx).sum(1)[:, None] + (x * x).sum(1)[None] - bound * bound) / 2 * (1 + 1e-12) + 0.5
+    bound = ((qx * qx).sum(1)[:, None] + size[None] - bound * bound) / 2 * (1 + 1e-12) + 0.5
     active = np.flatnonzero(bound.max(axis=1, initial=-np.inf) >= floor)
-    order = np.argsort(-bound[active], axis=1, kind="stable")
+    order = np.argsort(-bound[active], axis=1)
     for at in range(0, len(ids), STEP):
         open_ = bound[active, order[:, at]] >= floor[active]
         active, order = active[open_], order[open_]
@@ -142,9 +156,7 @@ def search_block(qid: np.ndarray, qx: np.ndarray, qfar: np.ndarray, floor: np.nd
         worth = np.take_along_axis(bound[active], part, axis=1) >= floor[active, None]
         if seen is not None:
             seen.append(int(worth.sum()))
-        # the union of what the queries ask for now, multiplied at once
-        some, back = np.unique(part, return_inverse=True)
-        got = np.take_along_axis(_products(qx[active], x[some]), back.reshape(part.shape), axis=1)
+        got = np.einsum("ad,asd->as", qx[active], x[part]).astype(np.int64)
         a, c = np.nonzero(worth & (got >= floor[active, None]) & (ids[part] != qid[active, None]))
         if len(a):
             new = (active[a], got[a, c], ids[part[a, c]])
