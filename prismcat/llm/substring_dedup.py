@@ -217,25 +217,26 @@ def multikey(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
         n, m = int(below.sum()), int(above.sum())
         order[lo:hi] = np.concatenate([part[below], part[~(below | above)], part[above]])
         todo += [(x, y, z) for x, y, z in ((lo, lo + n, k), (lo + n, hi - m, k + 8), (hi - m, hi, k)) if x < y]
-    by: dict[int, list[tuple[int, int]]] = {}
-    for lo, hi, k in small:
-        by.setdefault(k, []).append((lo, hi))
+    by: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     for k in range(0, length, 8):
-        if not by.get(k):
+        if own := [(lo, hi) for lo, hi, at_ in small if at_ == k]:
+            lo, hi = zip(*own)
+            by.setdefault(k, []).append((np.array(lo), np.array(hi)))
+        if k not in by:
             continue
-        begin, end = (np.array(x) for x in zip(*by[k]))
+        begin, end = (np.concatenate(x) for x in zip(*by[k]))
         size = end - begin
         part = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
         own = np.repeat(np.arange(len(size)), size)
         w = _words(data, at[order[part]] + k, length - k)
         o = np.lexsort((w, own))
         order[part], w = order[part[o]], w[o]
-        new = np.concatenate([[True], (own[1:] != own[:-1]) | (w[1:] != w[:-1])])
-        cuts = np.flatnonzero(new)
+        cuts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (w[1:] != w[:-1])]))
         many = np.diff(np.append(cuts, len(part)))
         group[part] = np.repeat(part[cuts], many)
-        if k + 8 < length:
-            by.setdefault(k + 8, []).extend((int(part[c]), int(part[c]) + int(n)) for c, n in zip(cuts[many > 1], many[many > 1]))
+        more = many > 1
+        if k + 8 < length and more.any():
+            by.setdefault(k + 8, []).append((part[cuts[more]], part[cuts[more]] + many[more]))
     return order, group
 
 
