@@ -3,8 +3,9 @@
 Signatures are compared once per distinct value; the pairs of ids come from the members of the values at the end, so
 equal signatures meet in no join.  Pairs of values are found by multi-index hashing: with m bands, signatures within t
 bits agree in one band up to t // m bits, so each side looks up its band values and those a few bits away, and an equi
-join finds every pair.  Where the threshold is so wide that bands tell little apart, any exact method compares nearly
-all pairs; then blocks of values are paired, each pair of blocks once.
+join finds every pair.  The width of the bands is the one that costs least for the threshold and the number of values.
+Where the threshold is so wide that bands tell little apart, any exact method compares nearly all pairs; then blocks of
+values are paired, each pair of blocks once.
 """
 
 from __future__ import annotations
@@ -20,24 +21,30 @@ from prismcat.plans.scratch import Scratch
 
 #: Values of a block where the threshold is too wide for bands.
 BLOCK_ROWS = 4096
-#: Band widths in bits that are tried, rows per value that a side may be spread to, and the share of all pairs from which bands are not worth it.
-WIDTHS, MOST_PROBES, WORTH = (8, 16, 32), 4096, 0.25
+#: Band widths in bits that are tried, and what a row that is spread costs against a pair that is compared.
+WIDTHS, ROW_COST = (8, 16, 32), 20
 
 
-def bands_for(bits: int, lanes: int, t: int) -> tuple[int, int] | None:
-    """(width, radius) of the bands that compare the fewest pairs, or None if none is worth it."""
-    best = None
-    for width in WIDTHS:
-        if bits % width:
+def _spread(width: int, reach: int) -> int:
+    return sum(comb(width, k) for k in range(min(reach, width) + 1))
+
+
+def bands_for(bits: int, lanes: int, t: int, values: int, width: int | None = None) -> tuple[int, int] | None:
+    """(width, radius) of the bands that cost least for so many values, or None if comparing all pairs costs less.
+
+    Every choice finds the same pairs.  ``width``: these bands, whatever they cost.
+    """
+    best = (values * values / 2 + 2 * values * -(-values // BLOCK_ROWS) * ROW_COST, None)
+    for w in WIDTHS if width is None else (width,):
+        if bits % w:
             continue
-        m = bits // width * lanes
+        m = bits // w * lanes
         radius = t // m
-        near = sum(comb(width, k) for k in range(min(radius, width) + 1))
-        share = m * near / 2**width
-        rows = m * sum(comb(width, k) for k in range(min(radius - radius // 2, width) + 1))
-        if share < WORTH and rows <= MOST_PROBES and (best is None or share < best[0]):
-            best = (share, width, radius)
-    return best and best[1:]
+        rows = m * (_spread(w, radius - radius // 2) + _spread(w, radius // 2))
+        cost = values * rows * ROW_COST + values * values / 2 * m * _spread(w, radius) / 2**w
+        if cost < best[0] or width is not None:
+            best = (cost, (w, radius))
+    return best[1]
 
 
 def _probed(sigs: DataFrame, lanes: list[str], bits: int, width: int, reach: int) -> DataFrame:
@@ -58,18 +65,19 @@ def _side(df: DataFrame, name: str, lanes: list[str], *more: str) -> DataFrame:
     return df.select(F.col("value").alias(name), *[F.col(x).alias(f"{name}_{x}") for x in lanes], *more)
 
 
-def _near_values(left: DataFrame, right: DataFrame | None, lanes: list[str], t: int, bits: int) -> DataFrame:
+def _near_values(left: DataFrame, right: DataFrame | None, lanes: list[str], t: int, bits: int, width: int | None = None) -> DataFrame:
     """(a, b, distance) of values within ``t`` bits: of one table with a < b, or of two tables."""
     same = right is None
     d = hamming([F.col(f"a_{x}") for x in lanes], [F.col(f"b_{x}") for x in lanes])
-    if band := bands_for(bits, len(lanes), t):
+    count = (left if same else right).count()
+    if band := bands_for(bits, len(lanes), t, count, width):
         width, radius = band
         a = _side(_probed(left, lanes, bits, width, radius - radius // 2), "a", lanes, "key")
         b = _side(_probed(left if same else right, lanes, bits, width, radius // 2), "b", lanes, "key")
         pairs = a.join(b, "key")
         pairs = pairs.where("a < b") if same else pairs
         return pairs.withColumn("distance", d).where(F.col("distance") <= t).select("a", "b", "distance").distinct()
-    n = max(1, -(-(left if same else right).count() // BLOCK_ROWS))
+    n = max(1, -(-count // BLOCK_ROWS))
     m = n if same else max(1, -(-left.count() // BLOCK_ROWS))
     block = lambda k: F.pmod(F.xxhash64("value"), F.lit(k)).cast("int")
     if same:  # the pair of blocks (x, y) with x <= y
@@ -89,13 +97,13 @@ def _values(sigs: DataFrame, lanes: list[str], scratch: Scratch) -> tuple[DataFr
     return values, sigs.join(values, lanes).select("id", "value")
 
 
-def photo_edges(sigs: DataFrame, lanes: list[str], t: int, bits: int = 64) -> DataFrame:
+def photo_edges(sigs: DataFrame, lanes: list[str], t: int, bits: int = 64, width: int | None = None) -> DataFrame:
     """(a, b, distance) with a < b for all pairs within ``t`` bits.
 
-    ``sigs``: id and signature lanes of ``bits`` used bits each.  Quality never gates a photo.
+    ``sigs``: id and signature lanes of ``bits`` used bits each.  Quality never gates a photo.  ``width``: bands of so many bits.
     """
     values, members = _values(sigs, lanes, Scratch(sigs.sparkSession, "photo_edges"))
-    near = _near_values(values, None, lanes, t, bits)
+    near = _near_values(values, None, lanes, t, bits, width)
     a, b = members.toDF("i", "a"), members.toDF("j", "b")
     across = near.join(a, "a").join(b, "b").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance")
     equal = members.toDF("a", "value").join(members.toDF("b", "value"), "value").where("a < b").select("a", "b", F.lit(0).alias("distance"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismcat.functions import exprs as X
-from prismcat.operators import match, rank, reconcile
+from prismcat.operators import match, rank, reconcile, review
 from prismcat.operators.cluster import connected_components
 from prismcat.plans import jobs as J
 from prismcat.plans.registry import ORACLE_SQL, QUERIES, query
@@ -36,7 +36,7 @@ _BANDED = C.EDGES.replace("distance <= 19", "distance <= 15")
 
 @query(f"WITH {_BANDED} SELECT a, b, distance FROM edge")
 def near_dup_edges_banded(spark, sf_dir: str) -> DataFrame:
-    return match.photo_edges(C.signatures(spark, sf_dir), LANES, 15, bits=32)
+    return match.photo_edges(C.signatures(spark, sf_dir), LANES, 15, bits=32, width=16)
 
 
 @query(f"""WITH {C.EDGES} SELECT id, min(distance) AS distance, count(*) AS neighbours FROM (
@@ -732,13 +732,12 @@ def frame_asof(spark, sf_dir: str) -> DataFrame:
     return t.join(pts, "id").where("pts >= target").groupBy("id", "k").agg(F.min_by("frame", F.struct("pts", "frame")).alias("frame"))
 
 
-@query(f"""WITH {_EXACT}, p AS (SELECT *, right(survivor, 1) <> '7' AS survivor_live, row_number() OVER (PARTITION BY asset_id ORDER BY path) AS nth FROM plan)
-  SELECT asset_id, path, CASE WHEN survivor_live THEN 'delete' WHEN nth = 1 THEN 'promote' ELSE 'delete' END AS action FROM p""")
+@query(f"""WITH {_EXACT}, here AS (SELECT p.*, right(survivor, 1) IN ('7', '9') AS dead FROM plan p WHERE right(path, 1) NOT IN ('7', '9')), heir AS (SELECT asset_id, min(path) AS heir FROM here WHERE dead GROUP BY asset_id)
+  SELECT h.asset_id, path, CASE WHEN dead THEN heir ELSE survivor END AS survivor FROM here h LEFT JOIN heir x ON x.asset_id = h.asset_id WHERE NOT dead OR path <> heir""")
 def survivor_promotion(spark, sf_dir: str) -> DataFrame:
-    """Where the survivor has gone, the first file to be deleted is spared and takes its place."""
-    nth = F.row_number().over(Window.partitionBy("asset_id").orderBy("path"))
-    action = F.when(F.right("survivor", F.lit(1)) != "7", "delete").when(F.col("nth") == 1, "promote").otherwise("delete")
-    return _exact(spark, sf_dir, False).withColumn("nth", nth).select("asset_id", "path", action.alias("action"))
+    """An exact plan as it can be staged: files that vanished go, and where the survivor has, the first file left takes its place."""
+    live = C.contents(spark, sf_dir).where("right(path, 1) NOT IN ('7', '9')").select("path")
+    return review.materialized(_exact(spark, sf_dir, False), live).select("asset_id", "path", "survivor")
 
 
 @query(f"""WITH {C.ASSETS}, {C.INST}, v AS (
