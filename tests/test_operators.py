@@ -281,3 +281,19 @@ def test_jobs(spark):
     assert r.run("scan", J.Context({"x": 1}), spark) == ("done", 2) and r.run("none", J.Context({}))[0] == "error" and r.run("scan", J.Context({"x": "a"}))[0] == "error"
     with pytest.raises(ValueError):
         r.add("scan", print)
+
+
+def test_moves_by_the_seven_vetoes(spark):
+    """One move, and what forbids one: live, suppressed, not fingerprinted, trashed, another time, ambiguous, a live namesake."""
+    old = [("ok", "/r/ok.jpg", 5.0, "active", True), ("live", "/r/live.jpg", 5.0, "active", True), ("hid", "/r/s/hid.jpg", 5.0, "active", True), ("raw", "/r/raw.jpg", 5.0, "active", False),
+           ("bad", "/r/bad.jpg", 5.0, "trashed", True), ("late", "/r/late.jpg", 5.0, "active", True), ("two", "/r/two.jpg", 5.0, "active", True), ("k1", "/r/k.jpg", 5.0, "active", True),
+           ("k2", "/r/l/k.jpg", 5.0, "active", True), ("case", "/r/Case.JPG", 5.0, "active", True), ("none", "/r/none.jpg", None, "active", True)]
+    new = ["/r/n/ok.jpg", "/r/live.jpg", "/r/n/live.jpg", "/r/n/hid.jpg", "/r/n/raw.jpg", "/r/n/bad.jpg", "/r/n/late.jpg", "/r/n/two.jpg", "/r/m/two.jpg", "/r/l/k.jpg", "/r/n/k.jpg", "/r/n/case.jpg", "/r/n/none.jpg"]
+    name = lambda p: p.rsplit("/", 1)[1]
+    existing = spark.createDataFrame([(f, 1, p, name(p), 10, m, s, c) for f, p, m, s, c in old], "fid string, root_id int, path string, filename string, size long, mtime double, status string, complete boolean")
+    listing = spark.createDataFrame([(1, p, name(p), 10, 9.0 if "late" in p else 6.0) for p in new], "root_id int, path string, filename string, size long, mtime double")
+    suppressed = spark.createDataFrame([(1, "/r/s")], "root_id int, dir string")
+    found = lambda **more: sorted(r.fid for r in reconcile.moves(existing, listing, **more).collect())
+    assert found(suppressed=suppressed) == ["ok"]
+    assert found(suppressed=suppressed, fold=True) == ["case", "ok"]
+    assert found() == ["hid", "ok"]
