@@ -165,6 +165,34 @@ def dispositions(deletions: DataFrame, results: DataFrame, is_network: Column) -
     return rows.withColumn("disposition", state).withColumn("recycle", F.when(state == "deleted", F.when(is_network, "permanent").otherwise("recycle-bin"))).drop("result")
 
 
+def outcome(done: DataFrame, is_network: Column) -> DataFrame:
+    """Per run: files deleted by kind, of them outside the root and for good, files that had gone, and errors."""
+    deleted = F.col("disposition") == "deleted"
+    return done.groupBy("run_id").agg(
+        F.count_if(deleted & (F.col("kind") == "exact")).alias("exact_deleted"), F.count_if(deleted & (F.col("kind") == "perceptual")).alias("perceptual_deleted"),
+        F.count_if(deleted & (F.col("is_external") == 1)).alias("external_deleted"), F.count_if(deleted & is_network).alias("network_deleted"),
+        F.count_if(F.col("disposition") == "already-gone").alias("already_gone"), F.count_if(F.startswith("disposition", F.lit("error"))).alias("errors"),
+    )
+
+
+def result_text(action: Column, status: Column, stage: Column, applied_stage: Column, deleted: Column, counts_: Column) -> Column:
+    """A review job's outcome as one line; ``counts_``: the phrase of what the current stage holds."""
+    went = F.format_string("%s: applied stage %d (%d deleted) · ", action, applied_stage, deleted)
+    confirm, pending = action == "confirm", status == "pending"
+    return (
+        F.when(pending & confirm, F.concat(went, F.format_string("advanced to stage %d · ", stage), counts_))
+        .when(pending, F.concat(action, F.format_string(": staged stage %d · ", stage), counts_))
+        .when((status == "completed") & (action == "analyze"), "analyze: already clean (nothing to review)")
+        .when((status == "completed") & confirm, F.concat(went, F.lit("run completed")))
+        .otherwise(F.concat(action, F.lit(": run "), status))
+    )
+
+
+def count_text(stage: Column, exact: Column, groups: Column, members: Column) -> Column:
+    """What a stage holds: exact copies in the first, groups and members in the others."""
+    return F.when(stage == 1, F.format_string("%d exact", exact)).otherwise(F.format_string("%d grp/%d mbr", groups, members))
+
+
 def applied(done: DataFrame, assets: DataFrame, instances: DataFrame) -> DataFrame:
     """asset_id, fate of the assets that a confirmation changes: trashed, when a group stage deleted the last file of an
     active asset; forgotten, when its last file had gone by itself or as an exact copy."""

@@ -154,6 +154,32 @@ def review_dispositions(spark, sf_dir: str) -> DataFrame:
     return _done(spark, sf_dir)[1].select("run_id", "path", "disposition", "recycle")
 
 
+@query(f"""WITH {_DONE} SELECT run_id, count(*) FILTER (disposition = 'deleted' AND kind = 'exact') AS exact_deleted, count(*) FILTER (disposition = 'deleted' AND kind = 'perceptual') AS perceptual_deleted,
+  count(*) FILTER (disposition = 'deleted' AND is_external = 1) AS external_deleted, count(*) FILTER (disposition = 'deleted' AND {_NET}) AS network_deleted,
+  count(*) FILTER (disposition = 'already-gone') AS already_gone, count(*) FILTER (starts_with(disposition, 'error')) AS errors FROM done GROUP BY run_id""")
+def review_outcome(spark, sf_dir: str) -> DataFrame:
+    """What a confirmation of every run came to."""
+    return review.outcome(_done(spark, sf_dir)[1], review.is_network())
+
+
+_COUNTS = f"""{_HERE}, cnt AS (SELECT run_id, count(*) FILTER (kind = 'exact') AS exact, count(DISTINCT CASE WHEN kind = 'perceptual' THEN group_no END) AS groups, count(*) FILTER (kind = 'perceptual') AS members FROM here GROUP BY run_id),
+  job AS (SELECT *, unnest(['analyze', 'confirm', 'cancel']) AS action FROM runs)"""
+
+
+@query(f"""WITH {_COUNTS}, t AS (SELECT j.run_id, action, status, stage, CASE WHEN stage = 1 THEN printf('%d exact', coalesce(exact, 0)) ELSE printf('%d grp/%d mbr', coalesce(groups, 0), coalesce(members, 0)) END AS phrase,
+    printf('%s: applied stage %d (%d deleted) · ', action, greatest(stage - 1, 1), j.run_id * 3) AS went FROM job j LEFT JOIN cnt ON cnt.run_id = j.run_id)
+  SELECT run_id, action, CASE WHEN status = 'pending' AND action = 'confirm' THEN went || printf('advanced to stage %d · ', stage) || phrase WHEN status = 'pending' THEN action || printf(': staged stage %d · ', stage) || phrase
+    WHEN status = 'completed' AND action = 'analyze' THEN 'analyze: already clean (nothing to review)' WHEN status = 'completed' AND action = 'confirm' THEN went || 'run completed' ELSE action || ': run ' || status END AS summary FROM t""")
+def review_result_lines(spark, sf_dir: str) -> DataFrame:
+    """The outcome of every kind of review job as one line."""
+    runs = C.runs(spark, sf_dir)
+    rows = runs.join(review.counts(_here(spark, sf_dir), review.is_network()), "run_id", "left").withColumn("action", F.explode(F.array(*[F.lit(a) for a in ("analyze", "confirm", "cancel")])))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    phrase = review.count_text(F.col("stage"), zero("to_delete_exact"), zero("groups"), zero("members"))
+    text = review.result_text(F.col("action"), F.col("status"), F.col("stage"), F.greatest(F.col("stage") - 1, F.lit(1)), F.col("run_id") * 3, phrase)
+    return rows.select("run_id", "action", text.alias("summary"))
+
+
 @query(f"""WITH {C.ASSETS}, {_DONE}, gone AS (SELECT * FROM done WHERE disposition IN ('deleted', 'already-gone')),
   kept AS (SELECT DISTINCT asset_id FROM actions WHERE path NOT IN (SELECT path FROM gone))
   SELECT asset_id, CASE WHEN bool_or(kind = 'perceptual' AND disposition = 'deleted') THEN 'trashed' ELSE 'forgotten' END AS fate FROM gone

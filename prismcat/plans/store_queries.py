@@ -14,7 +14,7 @@ from prismcat.operators import reconcile, scan, store
 from prismcat.plans.registry import query
 from prismcat.plans.scratch import Scratch
 from prismcat.sources import catalog as C
-from prismcat.sources import decode, probe, sinks, walk
+from prismcat.sources import decode, files, probe, sinks, walk
 
 IGNORE = ["cache/", "*_skip.jpg"]
 
@@ -54,6 +54,24 @@ def file_hashes(spark, sf_dir: str) -> DataFrame:
     return walk.hashed(found, chunk=2).select(F.substring("path", len(root) + 2, 1 << 20).alias("rel"), "content_hash")
 
 
+@query(f"""WITH {_TREE} SELECT rel, CASE k % 3 WHEN 0 THEN 'copied' WHEN 1 THEN 'ValueError' ELSE 'identical' END AS result, CASE WHEN k % 3 = 1 THEN 'missing' ELSE 'done' END AS removed FROM files WHERE content <> ''""")
+def file_copies(spark, sf_dir: str) -> DataFrame:
+    """Verified copies of the files of a tree: made, refused because the bytes are not the planned ones, or there already; then deleted."""
+    root = _tree(spark, sf_dir)
+    there = root.removesuffix("/lib") + "/copies"
+    found = walk.hashed(walk.listing(spark, root, IGNORE).where("kind = 'file'").select("path"))
+    rel = F.substring("path", len(root) + 2, 1 << 20)
+    key = F.regexp_extract("path", r"x(\d+)[.]", 1).cast("int") % 3
+    plan = found.select(F.col("path").alias("source"), F.concat(F.lit(there + "/"), rel).alias("dest"), F.when(key == 1, "other").otherwise(F.col("content_hash")).alias("hash"), rel.alias("rel"), key.alias("key"))
+    scratch = Scratch(spark, "copies")
+    plan = scratch.write(plan, "plan")
+    scratch.write(files.copies(plan.where("key = 2")), "before")
+    made = scratch.write(files.copies(plan), "made")
+    gone = scratch.write(files.removals(plan.select(F.col("dest").alias("path"))), "gone").toDF("dest", "removed")
+    rows = plan.join(made.toDF("dest", "result"), "dest").join(gone, "dest")
+    return rows.select("rel", F.regexp_extract("result", r"^(\w+)", 1).alias("result"), "removed")
+
+
 @query("SELECT n_nationkey AS id, (n_nationkey % 9 + 1) / 2.0 AS duration_s, 100 + n_nationkey AS width, 50 + n_nationkey AS height, CASE WHEN n_nationkey % 2 = 0 THEN 'h264' ELSE 'hevc' END AS codec, strftime(TIMESTAMP '2020-01-01' + to_days(n_nationkey::INT), '%Y-%m-%d %H:%M:%S') AS captured_at FROM nation")
 def video_headers(spark, sf_dir: str) -> DataFrame:
     """What the headers of video files tell: files are made of a table's rows, and read back."""
@@ -85,11 +103,11 @@ def picture_fingerprints(spark, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("vec_id").to_pylist()
-            pictures = [decode.sample_ppm(k % 97) if k % 10 else b"no picture" for k in ids]
-            yield pa.record_batch({"path": pa.array([f"/v/{k}.ppm" for k in ids]), "content": pa.array(pictures, pa.binary())})
+            contents = [decode.sample_ppm(k % 97) if k % 10 else b"no picture" for k in ids]
+            yield pa.record_batch({"path": pa.array([f"/v/{k}.ppm" for k in ids]), "content": pa.array(contents, pa.binary())})
 
-    files = C.table(spark, sf_dir, "embeddings").select("vec_id").mapInArrow(run, "path string, content binary")
-    return decode.fingerprints(files).select("path", "content_hash", "width", "height", "l0", "l1", "l2", "l3", "quality", "undecodable")
+    pictures = C.table(spark, sf_dir, "embeddings").select("vec_id").mapInArrow(run, "path string, content binary")
+    return decode.fingerprints(pictures).select("path", "content_hash", "width", "height", "l0", "l1", "l2", "l3", "quality", "undecodable")
 
 
 @query("SELECT n_regionkey AS region, count(*) FILTER (n_nationkey % 2 = 0) AS before_, count(*) FILTER (n_nationkey % 2 = 0 OR n_nationkey % 3 = 0) AS after_, 2 AS version FROM nation GROUP BY n_regionkey")
