@@ -338,6 +338,27 @@ def test_near_dedup_finds_what_brute_force_finds(spark, monkeypatch, block):
     assert want <= got and len(got - want) <= 0.01 * len(rows)
 
 
+@pytest.mark.parametrize("cell", [1, 200])
+def test_near_dedup_with_hot_cells(spark, monkeypatch, cell):
+    monkeypatch.setattr(simhash_wide, "CELL", cell * 8)
+    monkeypatch.setattr(simhash_wide, "SAMPLE", 4)
+    rows = near_copies(12, 10, 30)
+    base = " ".join(f"h{k}" for k in range(200))
+    rows += [(len(rows) + k, f"{base} x{k}", "s") for k in range(150)]
+    got = {r.doc_id for r in simhash_wide.near_dedup(frame(spark, rows)).collect()}
+    want = {v[0][2] for v in kept_of(rows, jaccard_classes([t for _, t, _ in rows])).values()}
+    assert want <= got and len(got - want) <= 0.01 * len(rows)
+
+
+def test_guests_meet_all_residents():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, (1, 2), dtype=np.uint64)
+    fp = np.concatenate([np.repeat(base, 50, axis=0), base ^ np.uint64(3), rng.integers(0, 2**63, (3, 2), dtype=np.uint64)])
+    label = np.array([0] * 50 + [1, 2, 3, 4])
+    guest = np.array([0] * 50 + [1] * 4)
+    assert simhash_wide.meet_guests(fp, label, guest, 8) == [(50, 0)]
+
+
 def test_wide_limits():
     assert abs(simhash_wide.bit_rate(0.8) - 0.1514) < 1e-3
     for nodes in (2, 1000, 10**6, 10**10):
