@@ -26,6 +26,8 @@ CACHE_UNITS, CACHE_PIECES = 400_000, 300_000
 CACHE_CHARS = 48
 #: Pre-tokens of byte-level encoding with the library's own pattern (a fixed value).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Marks that end a word.
+MARKS = frozenset(".,;:!?")
 #: A space with white space on both sides is no safe cut.  Told widely: a text with any of these goes whole.
 _RUNS = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")
 _ODD_ASCII = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -101,7 +103,7 @@ class UnitEncoder:
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.chars = _byte_chars()
         self.pieces = _Cache(self._piece)
-        self.units = _Cache((lambda u: self._unit(" " + u)) if self.way == "lead" else self._unit)
+        self.units = _Cache(self._led if self.way == "lead" else self._unit)
         self.heads = _Cache(self._unit)
 
     def _whole(self, text: str) -> bytes:
@@ -109,9 +111,21 @@ class UnitEncoder:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a pre-token, by the library's model."""
-        shown = piece.encode().decode("latin-1").translate(self.chars)
+        if piece.isascii() and piece.isprintable():
+            shown = piece.replace(" ", self.chars[0x20])
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.chars)
         return array("I", [t.id for t in self.tok.model.tokenize(shown)]).tobytes()
 
+    def _led(self, unit: str) -> bytes:
+        """Ids of a unit after a space.  Letters are one pre-token with the space, a mark after them another."""
+        if unit.isascii() or (max(unit) < "ɐ" and "İ" not in unit):
+            if unit.isalpha():
+                return self.pieces[" " + unit]
+            if unit[-1:] in MARKS and unit[:-1].isalpha():
+                return self.pieces[" " + unit[:-1]] + self.pieces[unit[-1]]
+        return self._unit(" " + unit)
+
     def _unit(self, unit: str) -> bytes:
         if not unit:
             return b""
