@@ -44,7 +44,7 @@ PASSES, LEAST_GAIN = 6, 0.002
 #: The sample that the passes start from: tokens, tokens of one stretch at most, blocks that give some, steps on it.
 START_TOKENS, STRETCH, START_BLOCKS, START_STEPS = 300_000, 1000, 64, 12
 #: Tokens in a block; a text is never split.
-BLOCK = 3_000_000
+BLOCK = 1_500_000
 #: Share added to every count of a token, and weight of the overall class frequencies in a state's.
 ADD, PRIOR = 0.1, 10.0
 FOLDS = 10
