@@ -19,9 +19,11 @@ from prismcat.plans.scratch import Scratch
 
 def _counted(scratch: Scratch, df: DataFrame, what, label: str) -> tuple[DataFrame, int]:
     """``df`` written, and how many of its rows hold ``what``."""
-    seen = Observation()
-    out = scratch.write(df.observe(seen, F.coalesce(F.sum(what.cast("long")), F.lit(0)).alias("n")), label)
-    return out, int(seen.get["n"])
+    seen, n = Observation(), F.coalesce(F.sum(what.cast("long")), F.lit(0)).alias("n")
+    out = scratch.write(df.observe(seen, n), label)
+    # a plan that turns out to be empty may lose its observation
+    told = seen.get
+    return out, int(told["n"] if "n" in told else out.select(n).first()[0])
 
 
 def _flatten(scratch: Scratch, forest: DataFrame) -> DataFrame:
