@@ -156,11 +156,11 @@ def schema_retrofit(spark, sf_dir: str) -> DataFrame:
     return library.read("nation").select("n_nationkey", "n_regionkey", "note", F.lit(len(library.tables())).alias("tables"), F.lit(stamp).alias("stamp"))
 
 
-@query(f"""WITH {C.CONTENTS}, d AS (SELECT DISTINCT source, hash FROM content WHERE source IS NOT NULL AND doc_id % 5 = 0), n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY hash) AS nth FROM d)
+@query(f"""WITH {C.CONTENTS}, d AS (SELECT DISTINCT source, hash FROM content WHERE source IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY hash) AS nth FROM d)
   SELECT source AS folder, hash, CASE nth WHEN 1 THEN 'p (2).jpg' WHEN 2 THEN 'p (3).jpg' ELSE 'p (' || (nth + 2) || ').jpg' END AS placed FROM n""")
 def copy_names(spark, sf_dir: str) -> DataFrame:
     """Names of copies in folders where p, p (1) and p (4) are taken."""
-    rows = C.contents(spark, sf_dir).where("source IS NOT NULL AND doc_id % 5 = 0").select(F.col("source").alias("folder"), F.lit("p.jpg").alias("name"), "hash").distinct()
+    rows = C.contents(spark, sf_dir).where("source IS NOT NULL").select(F.col("source").alias("folder"), F.lit("p.jpg").alias("name"), "hash").distinct()
     held = rows.select("folder").distinct().withColumn("name", F.explode(F.array(*[F.lit(x) for x in ("p.jpg", "p (1).jpg", "p (4).jpg")]))).withColumn("hash", F.concat(F.lit("held "), "name"))
     return store.placed_names(rows, held).select("folder", "hash", "placed")
 

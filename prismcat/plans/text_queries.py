@@ -59,17 +59,12 @@ def cell_widths(spark, sf_dir: str) -> DataFrame:
     return _names(spark, sf_dir).select("doc_id", X.cell_width(F.col("name")).alias("width"))
 
 
-_FIT = "length(name) + CASE WHEN doc_id % 3 < 2 THEN 2 ELSE 0 END <= 24"
-
-
 @query(f"""WITH {_NAMES}, t AS (SELECT *, length(name) + CASE WHEN doc_id % 3 < 2 THEN 2 ELSE 0 END AS w, doc_id % 3 < 2 AS wide FROM names)
   SELECT doc_id, CASE WHEN w <= 24 THEN name ELSE substr(name, 1, 12) || '…' || CASE WHEN wide THEN right(name, 9) ELSE right(name, 11) END END AS middle,
-    CASE WHEN w <= 24 THEN name ELSE substr(name, 1, 23) || '…' END AS cut FROM t WHERE w <= 24 OR length(name) > 26""")
+    CASE WHEN w <= 24 THEN name ELSE substr(name, 1, CASE WHEN wide AND length(name) < 25 THEN 22 ELSE 23 END) || '…' END AS cut FROM t""")
 def elided_names(spark, sf_dir: str) -> DataFrame:
     """Names in 24 cells, shortened in the middle or at the end."""
-    w = X.cell_width(F.col("name"))
-    rows = _names(spark, sf_dir).where((w <= 24) | (F.length("name") > 26))
-    return rows.select("doc_id", X.middle_elide(F.col("name"), 24).alias("middle"), X.end_elide(F.col("name"), 24).alias("cut"))
+    return _names(spark, sf_dir).select("doc_id", X.middle_elide(F.col("name"), 24).alias("middle"), X.end_elide(F.col("name"), 24).alias("cut"))
 
 
 @query(f"WITH {_NAMES} SELECT doc_id, regexp_replace(regexp_replace(name, 'the', '░░░', 'gi'), '照片', '░░░░', 'g') AS masked FROM names")
