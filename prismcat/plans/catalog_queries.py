@@ -381,7 +381,7 @@ _FAST = f"""{C.LISTING}, fast AS (SELECT l.*, coalesce(l.size = e.size AND abs(l
 
 def _state(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The catalog's instances, written once, and a later listing of the same roots."""
-    known = Scratch(spark, "existing").write(C.existing(spark, sf_dir), "existing")
+    known = C.written(spark, sf_dir)
     return known, C.listing(known)
 
 

@@ -193,7 +193,7 @@ def edge_upsert(spark, sf_dir: str) -> DataFrame:
   FROM existing e LEFT JOIN m ON m.fid = e.fid""")
 def scan_relink(spark, sf_dir: str) -> DataFrame:
     """The instance table after its moved files were bound to their new places."""
-    known = Scratch(spark, "existing").write(C.existing(spark, sf_dir), "existing")
+    known = C.written(spark, sf_dir)
     moved = reconcile.moves(known, C.listing(known), fold=True)
     rows = known.select("fid", "path", "filename", F.lit("before").alias("last_seen"), "size")
     return scan.relinked(rows, moved, F.lit("now"))

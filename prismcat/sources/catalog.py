@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismcat.functions.exprs import complete, group_shortcut, leaf, shortcut
+from prismcat.plans.scratch import Scratch
 
 ROOTS = 8
 
@@ -97,8 +98,20 @@ def existing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instances with their asset's status and whether it is fully fingerprinted; the path is the key (of equal ones the smallest size)."""
     a = flagged(spark, sf_dir).select("asset_id", "status", "complete")
     i = instances(spark, sf_dir)
-    rows = i.groupBy(*[c for c in i.columns if c != "size"]).agg(F.min("size").alias("size"))
-    return rows.join(a, "asset_id").withColumn("fid", F.col("path"))
+    # the path tells all but the size
+    same = [F.any_value(c).alias(c) for c in ("asset_id", "root_id", "mtime", "l_partkey")]
+    rows = i.groupBy("path").agg(*same, F.min("size").alias("size"))
+    return named(rows.join(a, "asset_id"))
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """``rows`` with filename and fid, which follow from the path."""
+    return rows.withColumn("filename", leaf(F.col("path"))).withColumn("fid", F.col("path"))
+
+
+def written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``existing`` written once, for queries that read it several times."""
+    return named(Scratch(spark, "existing").write(existing(spark, sf_dir).drop("filename", "fid"), "existing"))
 
 
 EXISTING = f"""{FLAGGED}, {INST}, existing AS MATERIALIZED (
