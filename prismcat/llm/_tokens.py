@@ -138,6 +138,11 @@ class UnitEncoder:
             unit = unit.lower()
         return b"".join(map(self.pieces.__getitem__, self.find(unit)))
 
+    def rest(self) -> None:
+        """Let the older generations go: a worker that is kept for other work need not hold them."""
+        for cache in (self.units, self.heads, self.pieces):
+            cache.older = {}
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text (null: empty) as little-endian unsigned 32-bit bytes."""
         self.units, self.heads = self.units.next(CACHE_UNITS), self.heads.next(CACHE_UNITS // 8)

@@ -63,6 +63,7 @@ def pieces(docs: DataFrame, capacity: int, path: str, with_ids: bool = False) ->
             if with_ids:
                 out["ids"] = pa.array(cols[6], pa.binary())
             yield pa.record_batch(out)
+        enc.rest()
 
     schema = _PIECES + (", ids binary" if with_ids else "")
     return columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, schema)

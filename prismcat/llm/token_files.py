@@ -195,6 +195,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None) -> None:
                     names, ids = [], []
         if names:
             yield closed()
+        enc.rest()
 
     rows = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("tie"), "text")
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
