@@ -5,14 +5,18 @@ equal signatures meet in no join.  Pairs of values are found by multi-index hash
 bits agree in one band up to t // m bits, so each side looks up its band values and those a few bits away, and an equi
 join finds every pair.  The width of the bands is the one that costs least for the threshold and the number of values.
 Where the threshold is so wide that bands tell little apart, any exact method compares nearly all pairs; then blocks of
-values are paired, each pair of blocks once.
+values are paired, each pair of blocks once, as packed arrays.  What a side grows to when it is spread can't be told from
+its file, so these joins are never left to broadcasts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +25,8 @@ from prismcat.plans.scratch import Scratch
 
 #: Values of a block where the threshold is too wide for bands.
 BLOCK_ROWS = 4096
+#: Values of a packed block, least and most, into how many blocks a table is cut between, and pairs that are looked at together.
+PACKED, CUTS, TILE = (2048, 65_536), 24, 1 << 18
 #: Band widths in bits that are tried, and what a row that is spread costs against a pair that is compared.
 WIDTHS, ROW_COST = (8, 16, 32), 20
 
@@ -32,7 +38,8 @@ def _spread(width: int, reach: int) -> int:
 def bands_for(bits: int, lanes: int, t: int, values: int, width: int | None = None) -> tuple[int, int] | None:
     """(width, radius) of the bands that cost least for so many values, or None if comparing all pairs costs less.
 
-    Every choice finds the same pairs.  ``width``: these bands, whatever they cost.
+    Every choice finds the same pairs.  ``width``: these bands, whatever they cost.  A pair meets once for every two
+    probes that agree, so the cost of bands has the product of both sides' probes.
     """
     best = (values * values / 2 + 2 * values * -(-values // BLOCK_ROWS) * ROW_COST, None)
     for w in WIDTHS if width is None else (width,):
@@ -40,21 +47,21 @@ def bands_for(bits: int, lanes: int, t: int, values: int, width: int | None = No
             continue
         m = bits // w * lanes
         radius = t // m
-        rows = m * (_spread(w, radius - radius // 2) + _spread(w, radius // 2))
-        cost = values * rows * ROW_COST + values * values / 2 * m * _spread(w, radius) / 2**w
+        ours, theirs = _spread(w, radius - radius // 2), _spread(w, radius // 2)
+        cost = values * m * (ours + theirs) * ROW_COST + values * values * m * ours * theirs / 2**w
         if cost < best[0] or width is not None:
             best = (cost, (w, radius))
     return best[1]
 
 
 def _probed(sigs: DataFrame, lanes: list[str], bits: int, width: int, reach: int) -> DataFrame:
-    """``sigs`` with key (band, part): each band's value and those up to ``reach`` bits away."""
+    """``sigs`` with key, a band's number and value in one: each band's value and those up to ``reach`` bits away."""
     masks = sorted(sum(1 << b for b in c) for k in range(reach + 1) for c in combinations(range(width), k))
     flips = F.lit(masks).cast("array<long>")
 
     def keyed(band: int, lane: str, j: int):
         part = F.shiftrightunsigned(F.col(lane), j * width).bitwiseAND(F.lit((1 << width) - 1))
-        return F.transform(flips, lambda m: F.struct(F.lit(band).alias("band"), part.bitwiseXOR(m).alias("part")))
+        return F.transform(flips, lambda m: part.bitwiseXOR(m).bitwiseOR(F.lit(band << width)))
 
     places = [(lane, j) for lane in lanes for j in range(bits // width)]
     keys = [keyed(n, lane, j) for n, (lane, j) in enumerate(places)]
@@ -74,27 +81,88 @@ def _near_values(left: DataFrame, right: DataFrame | None, lanes: list[str], t:
         width, radius = band
         a = _side(_probed(left, lanes, bits, width, radius - radius // 2), "a", lanes, "key")
         b = _side(_probed(left if same else right, lanes, bits, width, radius // 2), "b", lanes, "key")
-        pairs = a.join(b, "key")
+        pairs = a.join(b.hint("merge"), "key")
         pairs = pairs.where("a < b") if same else pairs
         return pairs.withColumn("distance", d).where(F.col("distance") <= t).select("a", "b", "distance").distinct()
-    n = max(1, -(-count // BLOCK_ROWS))
-    m = n if same else max(1, -(-left.count() // BLOCK_ROWS))
-    block = lambda k: F.pmod(F.xxhash64("value"), F.lit(k)).cast("int")
-    if same:  # the pair of blocks (x, y) with x <= y
-        a = _side(left.withColumn("x", block(n)).withColumn("y", F.explode(F.sequence("x", F.lit(n - 1)))), "a", lanes, "x", "y")
-        b = _side(left.withColumn("y", block(n)).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("y")))), "b", lanes, "x", "y")
-        pairs = a.join(b, ["x", "y"]).where((F.col("x") < F.col("y")) | (F.col("a") < F.col("b")))
+    return _block_pairs(left, right, lanes, t, count, count if same else left.count())
+
+
+def _packed(values: DataFrame, lanes: list[str], blocks: int) -> DataFrame:
+    """A row per block: its number, its values and their lanes as arrays."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        ids = table.column("value").to_numpy().astype("<i8").tobytes()
+        sig = np.stack([table.column(x).to_numpy().astype("<i8") for x in lanes]).tobytes()
+        return pa.table({"block": table.column("block").slice(0, 1), "ids": pa.array([ids], pa.binary()), "sig": pa.array([sig], pa.binary())})
+
+    placed = values.select("value", *lanes, F.pmod(F.xxhash64("value"), F.lit(blocks)).cast("int").alias("block"))
+    return placed.groupBy("block").applyInArrow(pack, "block int, ids binary, sig binary")
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray | None, t: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places (i, j) and distances of rows of ``a`` and ``b`` (a lane a row) within ``t`` bits; without ``b`` those of ``a`` with i < j."""
+    other = a if b is None else b
+    kind = np.uint8 if 64 * len(a) < 256 else np.uint16
+    step = max(1, TILE // max(1, other.shape[1]))
+    for at in range(0, a.shape[1], step):
+        upto, first = min(at + step, a.shape[1]), at if b is None else 0
+        d = np.zeros((upto - at, other.shape[1] - first), dtype=kind)
+        for x, y in zip(a, other):
+            d += np.bitwise_count(x[at:upto, None] ^ y[None, first:])
+        i, j = np.divmod(np.flatnonzero(d <= t), d.shape[1])
+        far = d[i, j].astype(np.int32)
+        i, j = i + at, j + first
+        if b is None:
+            i, j, far = i[keep := i < j], j[keep], far[keep]
+        if len(i):
+            yield i, j, far
+
+
+def _block_pairs(left: DataFrame, right: DataFrame | None, lanes: list[str], t: int, count: int, others: int) -> DataFrame:
+    """(a, b, distance) of values within ``t`` bits by comparing each pair of blocks once."""
+    cut = lambda k: max(1, -(-k // PACKED[1]), min(-(-k // PACKED[0]), CUTS))
+    scratch, n, m = Scratch(left.sparkSession, "blocks"), cut(count), cut(others)
+    if right is None:
+        x, y = F.least("block", "other"), F.greatest("block", "other")
+        met = scratch.write(_packed(left, lanes, n), "packed").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        rows, pairs = met.select(x.alias("x"), y.alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"), "ids", "sig"), n * (n + 1) // 2
     else:
-        a = _side(left.withColumn("x", block(m)).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), "a", lanes, "x", "y")
-        b = _side(right.withColumn("y", block(n)).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))), "b", lanes, "x", "y")
-        pairs = a.join(b, ["x", "y"])
-    return pairs.withColumn("distance", d).where(F.col("distance") <= t).select("a", "b", "distance")
+        side = lambda df, k, x, y, s: scratch.write(_packed(df, lanes, k), "packed").select(x.alias("x"), y.alias("y"), F.lit(s).alias("side"), "ids", "sig")
+        each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+        rows, pairs = side(left, m, F.col("block"), each(n), 0).unionByName(side(right, n, each(m), F.col("block"), 1)), n * m
+    alone, wide = right is None, len(lanes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y, s = (batch.column(c)[k].as_py() for c in ("x", "y", "side"))
+                ids = np.frombuffer(batch.column("ids")[k].as_py(), dtype="<i8")
+                sig = np.frombuffer(batch.column("sig")[k].as_py(), dtype="<u8").reshape(wide, -1)
+                if s == 0:
+                    held = (x, y, ids, sig)
+                    if not (alone and x == y):
+                        continue
+                if held is None or held[:2] != (x, y):
+                    continue
+                for i, j, far in near_pairs(held[3], None if s == 0 else sig, t):
+                    yield pa.record_batch({"a": pa.array(held[2][i]), "b": pa.array(ids[j]), "distance": pa.array(far)})
+
+    # a task for each pair of blocks, about
+    return rows.repartition(pairs, "x", "y").sortWithinPartitions("x", "y", "side").mapInArrow(run, "a long, b long, distance int")
 
 
 def _values(sigs: DataFrame, lanes: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Distinct signatures as ``value`` with lanes, and (id, value) of all."""
-    values = scratch.write(sigs.select(*lanes).distinct().withColumn("value", F.monotonically_increasing_id()), "values")
-    return values, sigs.join(values, lanes).select("id", "value")
+    """Distinct signatures as ``value`` with lanes, and (id, value) of all; null lanes are near nothing."""
+    values = scratch.write(sigs.select(*lanes).dropna().distinct().withColumn("value", F.monotonically_increasing_id()), "values")
+    return values, sigs.join(values.hint("merge"), lanes).select("id", "value")
+
+
+def _near_and_members(sigs: DataFrame, lanes: list[str], t: int, bits: int, width: int | None) -> tuple[DataFrame, DataFrame]:
+    """(a, b, distance) of near values and (id, value) of all, both written: whatever reads them often costs one search."""
+    scratch = Scratch(sigs.sparkSession, "photo_edges")
+    values, members = _values(sigs, lanes, scratch)
+    return scratch.write(_near_values(values, None, lanes, t, bits, width), "near"), scratch.write(members, "members")
 
 
 def photo_edges(sigs: DataFrame, lanes: list[str], t: int, bits: int = 64, width: int | None = None) -> DataFrame:
@@ -102,20 +170,28 @@ def photo_edges(sigs: DataFrame, lanes: list[str], t: int, bits: int = 64, width
 
     ``sigs``: id and signature lanes of ``bits`` used bits each.  Quality never gates a photo.  ``width``: bands of so many bits.
     """
-    values, members = _values(sigs, lanes, Scratch(sigs.sparkSession, "photo_edges"))
-    near = _near_values(values, None, lanes, t, bits, width)
+    near, members = _near_and_members(sigs, lanes, t, bits, width)
     a, b = members.toDF("i", "a"), members.toDF("j", "b")
-    across = near.join(a, "a").join(b, "b").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance")
-    equal = members.toDF("a", "value").join(members.toDF("b", "value"), "value").where("a < b").select("a", "b", F.lit(0).alias("distance"))
+    across = near.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance")
+    equal = members.toDF("a", "value").join(members.toDF("b", "value").hint("merge"), "value").where("a < b").select("a", "b", F.lit(0).alias("distance"))
     return across.unionByName(equal)
 
 
+def photo_links(sigs: DataFrame, lanes: list[str], t: int, bits: int = 64, width: int | None = None) -> DataFrame:
+    """(a, b) with the components of ``photo_edges``: near signatures by their smallest ids, and every copy with that of its own."""
+    near, members = _near_and_members(sigs, lanes, t, bits, width)
+    first = members.groupBy("value").agg(F.min("id").alias("first"))
+    across = near.join(first.toDF("a", "i").hint("merge"), "a").join(first.toDF("b", "j").hint("merge"), "b").select(F.col("i").alias("a"), F.col("j").alias("b"))
+    copies = members.join(first.hint("merge"), "value").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return across.unionByName(copies).where("a <> b")
+
+
 def cross_edges(targets: DataFrame, pool: DataFrame, lanes: list[str], t: int, bits: int = 64) -> DataFrame:
     """(target, match, distance): every target against every signature of the pool."""
     scratch = Scratch(targets.sparkSession, "cross_edges")
     (ours, own), (theirs, other) = _values(targets, lanes, scratch), _values(pool, lanes, scratch)
     near = _near_values(ours, theirs, lanes, t, bits)
-    return near.join(own.toDF("target", "a"), "a").join(other.toDF("match", "b"), "b").where("target <> match").select("target", "match", "distance")
+    return near.join(own.toDF("target", "a").hint("merge"), "a").join(other.toDF("match", "b").hint("merge"), "b").where("target <> match").select("target", "match", "distance")
 
 
 def duration_pairs(videos: DataFrame, tol_s: float, tol_pct: float) -> DataFrame:

@@ -26,6 +26,11 @@ def _edges(spark, sf_dir: str) -> DataFrame:
     return match.photo_edges(C.signatures(spark, sf_dir), LANES, EDIT, bits=32)
 
 
+def _links(spark, sf_dir: str) -> DataFrame:
+    """Links with the components of the edges; copies are not paired with all their neighbours."""
+    return match.photo_links(C.signatures(spark, sf_dir), LANES, EDIT, bits=32)
+
+
 @query(f"WITH {C.EDGES} SELECT a, b, distance, CASE WHEN distance <= 17 THEN 2 ELSE 3 END AS stage FROM edge")
 def near_dup_edges(spark, sf_dir: str) -> DataFrame:
     return _edges(spark, sf_dir).withColumn("stage", F.when(F.col("distance") <= RECOMPRESS, 2).otherwise(3))
@@ -54,7 +59,7 @@ _GROUPS = f"""{_REACH}, grp AS (
 
 @query(f"WITH RECURSIVE {_REACH} SELECT id, component FROM comp")
 def near_dup_components(spark, sf_dir: str) -> DataFrame:
-    return connected_components(_edges(spark, sf_dir)).select(F.col("node").alias("id"), "component")
+    return connected_components(_links(spark, sf_dir)).select(F.col("node").alias("id"), "component")
 
 
 FORMATS = ("png", "heic", "jpg", "cr2")
@@ -67,7 +72,7 @@ def _members(spark, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("/p/"), F.lpad(F.col("id").cast("string"), 8, "0"), F.lit("."), ext)
     pixels = F.coalesce(F.col("p_size") % 4, F.lit(0)) * F.when(F.col("p_partkey") % 9 != 0, F.lit(3)).otherwise(0)
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), pixels.cast("long").alias("pixels"), (F.floor("p_retailprice") % 5).cast("long").alias("size"))
-    rows = match.groups(_edges(spark, sf_dir)).join(sig, "id").join(part, "id").withColumn("path", path)
+    rows = match.groups(_links(spark, sf_dir)).join(sig, "id").join(part, "id").withColumn("path", path)
     return rows.withColumn("format", X.format_rank(F.col("path")))
 
 

@@ -91,6 +91,43 @@ def test_choice_of_bands():
     assert match.bands_for(32, 2, 19, 5_000) is None
 
 
+def test_bands_pay_for_every_meeting_of_probes():
+    assert match.bands_for(32, 2, 19, 51_282) is None and match.bands_for(32, 2, 19, 102_564) is None
+
+
+def near_bits(seed, n, ids=None):
+    """(id, l0, l1) of random signatures, ones near them and copies, and all pairs within 19 bits by brute force."""
+    rnd = random.Random(seed)
+    bits = [rnd.getrandbits(64) for _ in range(n)]
+    bits += [b ^ sum(1 << k for k in rnd.sample(range(64), rnd.choice((0, 0, 3, 19, 20)))) for b in bits for _ in range(3)]
+    rows = [(ids(k) if ids else k, b) for k, b in enumerate(bits)]
+    pairs = sorted((i, j, (a ^ b).bit_count()) for i, a in rows for j, b in rows if i < j and (a ^ b).bit_count() <= 19)
+    return [(k, b & 0xFFFFFFFF, b >> 32) for k, b in rows], pairs
+
+
+@pytest.mark.parametrize("packed", [(2048, 65_536), (16, 64), (1, 3)])
+@pytest.mark.parametrize("ids", [None, lambda k: k // 2])
+def test_blocks_lose_no_pair(spark, monkeypatch, packed, ids):
+    monkeypatch.setattr(match, "PACKED", packed)
+    monkeypatch.setattr(match, "CUTS", 5)
+    monkeypatch.setattr(match, "TILE", 64)
+    rows, want = near_bits(3, 12, ids)
+    df = spark.createDataFrame([*rows, (900, None, None), (901, None, None)], "id long, l0 long, l1 long")
+    assert sorted(tuple(r) for r in match.photo_edges(df, ["l0", "l1"], 19, bits=32).collect()) == want
+    across = sorted(tuple(r) for r in match.cross_edges(df.where("id < 16"), df.where("id >= 16"), ["l0", "l1"], 19, bits=32).collect())
+    assert across == [p for p in want if p[0] < 16 <= p[1]]
+    got = {r.node: r.component for r in connected_components(match.photo_links(df, ["l0", "l1"], 19, bits=32)).collect()}
+    assert got == components_of([p[:2] for p in want])
+
+
+def test_spread_sides_are_not_broadcast(spark):
+    rows, want = near_bits(4, 20)
+    values = spark.createDataFrame(rows, "value long, l0 long, l1 long")
+    near = match._near_values(values, None, ["l0", "l1"], 15, 32, 16)
+    assert sorted((*sorted((a, b)), d) for a, b, d in near.collect()) == [p for p in want if p[2] <= 15]
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+
+
 def test_duration_pairs(spark):
     values = [None, 0.0, 0.5, 1.0, 1.6, 10.0, 10.2, 10.9, 12.0, 100.0, 104.9, 105.1, 1000.0, 1050.0, 1051.0]
     df = spark.createDataFrame(list(enumerate(values)), "id long, duration double")
