@@ -254,8 +254,11 @@ def counted(made: DataFrame, total: int, scratch: Scratch) -> DataFrame:
 _CODED = "block long, docs array<long>, sizes binary, seen binary, base array<double>, inner array<double>, known array<long>"
 
 
-def coded(made: DataFrame, words: DataFrame, total: int, distinct: int, n_in: np.ndarray, v_in: np.ndarray) -> DataFrame:
-    """Blocks as class sequences, with each text's base score, within-class score and known tokens."""
+def coded(made: DataFrame, words: DataFrame, parts: int, total: int, distinct: int, n_in: np.ndarray, v_in: np.ndarray) -> DataFrame:
+    """Blocks as class sequences, with each text's base score, within-class score and known tokens.
+
+    ``parts``: the number of blocks.  Dealt to so many partitions, a task sorts the words of very few blocks.
+    """
     below = total + ADD * (distinct + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -284,8 +287,9 @@ def coded(made: DataFrame, words: DataFrame, total: int, distinct: int, n_in: np
             }
         )
 
-    texts = made.select("block", "docs", "sizes", "codes")
-    return texts.groupBy("block").cogroup(words.select("block", "pos", "c", "cls").groupBy("block")).applyInArrow(run, _CODED)
+    texts = made.select("block", "docs", "sizes", "codes").repartition(parts, "block")
+    own = words.select("block", "pos", "c", "cls").repartition(parts, "block")
+    return texts.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(run, _CODED)
 
 
 def _texts(block: dict) -> tuple[list, np.ndarray, np.ndarray]:
@@ -352,7 +356,8 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "hmm")
     made = scratch.write(blocks(docs), "blocks")
-    total = made.select(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    total, n_blocks = made.select(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)), F.count(F.lit(1))).first()
+    total = total or 0
     every = words = counted(made, total, scratch)
     own = words.where("first AND word IS NOT NULL").select("word", "c").collect()  # FREQUENT rows at most
     own = sorted(((-r.c, bytes(r.word)) for r in own))
@@ -364,7 +369,7 @@ def score(docs: DataFrame) -> DataFrame:
     for cls, n, v in stats:
         n_in[cls], v_in[cls] = n, v
     share = (n_in + ADD) / (n_in + ADD).sum()
-    rows = scratch.write(coded(made, words, total, int(v_in.sum()), n_in, v_in), "coded")
+    rows = scratch.write(coded(made, words, max(1, n_blocks), total, int(v_in.sum()), n_in, v_in), "coded")
     scratch.drop(made, every)
     sent = spark.sparkContext.broadcast(trained(rows, share))
 

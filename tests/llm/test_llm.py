@@ -586,6 +586,21 @@ def test_language_model_of_long_texts_only(spark, monkeypatch):
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
 
 
+def test_language_model_deals_its_blocks_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(hmm_lm, "BLOCK", 60)
+    dealt, plain = [], hmm_lm.coded
+
+    def coded(*a):
+        out = plain(*a)
+        dealt.extend(r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect())
+        return out
+
+    monkeypatch.setattr(hmm_lm, "coded", coded)
+    rows = [(k, " ".join(f"w{(k * n) % 97}" for n in range(59)), None) for k in range(64)]
+    assert hmm_lm.score(frame(spark, rows)).count() == 64
+    assert sum(dealt) == 64 and max(dealt) <= 8
+
+
 def test_first_states_differ_without_a_sample():
     share = np.full(50, 0.02)
     for texts in ([], [np.zeros(3, dtype=np.uint16)]):
