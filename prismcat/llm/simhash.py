@@ -112,14 +112,16 @@ def embed(fp: np.ndarray) -> np.ndarray:
     return np.bitwise_count(seg).astype(np.int64)
 
 
-def _cells(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index, cell) for every point's own cell and those one step away; a cell is a hash-free packed long."""
-    each = 64 // SEGMENTS
+def cells(points: np.ndarray, each: int = 64 // SEGMENTS) -> tuple[np.ndarray, np.ndarray]:
+    """(index, cell) for every point's own cell and those one step away; a cell is a hash-free packed long.
+
+    Points are bit counts of segments of ``each`` bits, a row each.
+    """
     bits = np.int64(each.bit_length())  # a count of 0..each needs so many bits
-    place = np.int64(1) << (np.arange(SEGMENTS, dtype=np.int64) * bits)
+    place = np.int64(1) << (np.arange(points.shape[1], dtype=np.int64) * bits)
     own = points @ place
     idx, cells = [np.arange(len(points))], [own]
-    for s in range(SEGMENTS):
+    for s in range(points.shape[1]):
         for step in (-1, 1):
             ok = np.flatnonzero((points[:, s] + step >= 0) & (points[:, s] + step <= each))
             idx.append(ok)
@@ -189,7 +191,7 @@ def edges(distinct: DataFrame, distance: int = 2) -> DataFrame:
             fp = batch.column("fp").to_numpy()
             for at in range(0, len(fp), 16_384):
                 part = fp[at : at + 16_384]
-                idx, cell = _cells(embed(part.view(np.uint64)))
+                idx, cell = cells(embed(part.view(np.uint64)))
                 yield pa.record_batch({"cell": pa.array(cell), "fp": pa.array(part[idx])})
 
     def settled(cell: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:

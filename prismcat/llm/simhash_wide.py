@@ -7,13 +7,15 @@ shingles of a text:
 
 1. Texts with the same set of shingles become one node (its count, sum and mixed
    sum are its digest), in partial aggregates, so copies never meet.
-2. Grids: each grid's cell is the bit counts of a random choice of the finest
-   segments (a bit each).  The number of segments grows with the logarithm of
-   the nodes, so that a cell holds about ``LOAD`` of unrelated texts at any
-   size; the number of grids follows from it, so that a pair at exactly the
-   threshold shares a cell of one grid at least with probability ``FOUND``, and
-   closer pairs more surely.  Nodes of a cell are linked if the first 128 bits
-   differ in few enough; the links' components are the candidates.  A cell that
+2. Grids: a node's point in a grid is the bit counts of a random choice of the
+   finest segments (a bit each), and it goes to the point's own cell and those
+   one step away, as in ``simhash``: points ``STEPS`` steps apart share a cell.
+   The number of segments grows with the logarithm of the nodes, so that a cell
+   holds about ``LOAD`` of unrelated texts at any size; the number of grids
+   follows from it, so that a pair at exactly the threshold shares a cell of one
+   grid at least with probability ``FOUND``, and closer pairs more surely.
+   Nodes of a cell are linked if the first 128 bits differ in few enough; the
+   links' components are the candidates.  A cell that
    very many nodes share is dealt to parts, and whatever does not belong to its
    largest group visits all of them, so it loses no link and no task holds it.
 3. Within a candidate component, pairs whose whole fingerprints are near enough
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 
 from prismcat.llm._arrow import byte_texts, columns, slices
 from prismcat.llm._rows import keep_rows, text_key
-from prismcat.llm.simhash import _Parts, majority, runs, shingle_hashes
+from prismcat.llm.simhash import _Parts, cells, majority, runs, shingle_hashes
 from prismcat.operators.cluster import connected_components
 from prismcat.plans.scratch import Scratch
 
@@ -50,7 +52,9 @@ WORDS, SIMILARITY = 5, 0.8
 #: Bits of a fingerprint, and of its part that goes to the cells.
 WIDE, SHORT = 512, 128
 #: Unrelated nodes in a cell, chance to find a pair at the threshold, deviations above the mean distance.
-LOAD, FOUND, SIGMAS = 32, 0.95, 2.5
+LOAD, FOUND, SIGMAS = 256, 0.95, 2.5
+#: Steps between points that share a cell, their own or one that is a step away, and the place of a grid's number in a cell's.
+STEPS, GRID = 2, 48
 #: Shingles of the texts that are compared in one task (a text counts EACH more), and fingerprints compared with all others at once.
 BLOCK, EACH, FRONT = 400_000, 400, 64
 #: Nodes of a part of a cell, about, and of how many nodes one is counted to find the cells that have more.
@@ -70,10 +74,13 @@ def limit(bits: int, similarity: float) -> int:
     return math.floor(bits * p + SIGMAS * math.sqrt(bits * p * (1 - p)))
 
 
-def grids(nodes: int, similarity: float) -> tuple[int, int]:
-    """Segments of a grid, and how many grids."""
-    coords = max(4, math.ceil(math.log2(max(2, nodes) / LOAD)))
-    same = (1 - bit_rate(similarity)) ** coords
+def grids(nodes: int, similarity: float, steps: int = 0) -> tuple[int, int]:
+    """Segments of a grid, and how many grids, if points up to ``steps`` steps apart share a cell (none: their own cells only)."""
+    coords = 4
+    while nodes * (1 + coords * (steps > 0)) > LOAD << coords:
+        coords += 1
+    p = bit_rate(similarity)
+    same = sum(math.comb(coords, k) * p**k * (1 - p) ** (coords - k) for k in range(steps + 1))
     return coords, math.ceil(math.log(1 - FOUND) / math.log(1 - same))
 
 
@@ -142,7 +149,7 @@ def near_forest(fp: np.ndarray, most: int) -> list[tuple[int, int]]:
             if j > i and parts.join(int(front[i]), int(left[j])):
                 edges.append((int(front[i]), int(left[j])))
         left = left[FRONT:]
-        if len(left) > 1:
+        if len(left) > 1 and edges:
             root = np.array([parts.root(x) for x in left.tolist()])
             _, own, size = np.unique(root, return_inverse=True, return_counts=True)
             if len(size) == 1:
@@ -153,7 +160,7 @@ def near_forest(fp: np.ndarray, most: int) -> list[tuple[int, int]]:
 
 def candidates(nodes: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """(a, b): links between nodes of a cell whose short fingerprints are near."""
-    coords, many = grids(nodes.count(), similarity)
+    coords, many = grids(nodes.count(), similarity, STEPS)
     picks = np.stack([np.random.default_rng(k).choice(WIDE, coords, replace=False) for k in range(many)])
     most = limit(SHORT, similarity)
 
@@ -163,11 +170,10 @@ def candidates(nodes: DataFrame, similarity: float, scratch: Scratch) -> DataFra
                 part = batch.slice(at, 2048)
                 fp = _lanes(part.column("wide"))
                 bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")
+                node, f0, f1 = part.column("node").to_numpy(), fp[:, 0].view(np.int64), fp[:, 1].view(np.int64)
                 for k, pick in enumerate(picks):
-                    cell = np.full(len(fp), k, dtype=np.uint64)
-                    for c in pick.tolist():
-                        cell = cell * np.uint64(0x100000001B3) ^ bits[:, c]
-                    yield pa.record_batch({"cell": pa.array(cell.view(np.int64)), "node": part.column("node"), "f0": pa.array(fp[:, 0].view(np.int64)), "f1": pa.array(fp[:, 1].view(np.int64))})
+                    own, cell = cells(bits[:, pick].astype(np.int64), 1)
+                    yield pa.record_batch({"cell": pa.array(cell + (k << GRID)), "node": pa.array(node[own]), "f0": pa.array(f0[own]), "f1": pa.array(f1[own])})
 
     def sorted_runs(batches: Iterator[pa.RecordBatch], *columns_: str) -> Iterator[tuple]:
         for cell, node, f0, f1, *more in runs(tuple(b.column(c).to_numpy() for c in ("cell", "node", "f0", "f1", *columns_)) for b in batches):

@@ -371,6 +371,25 @@ def test_wide_limits():
     assert np.bitwise_count(fp[0] ^ fp[1]).sum() <= simhash_wide.limit(512, 0.8)
 
 
+def test_points_two_steps_apart_share_a_cell(spark):
+    for nodes in (2, 1000, 10**6, 10**10):
+        coords, many = simhash_wide.grids(nodes, 0.8, 2)
+        p = simhash_wide.bit_rate(0.8)
+        assert (1 - sum(math.comb(coords, k) * p**k * (1 - p) ** (coords - k) for k in range(3))) ** many <= 1 - simhash_wide.FOUND
+    # of the grids for two nodes, the first has points two steps apart, the others differ too
+    picks = [np.random.default_rng(k).choice(simhash_wide.WIDE, 4, replace=False).tolist() for k in range(8)]
+    base = np.random.default_rng(1).integers(0, 2, simhash_wide.WIDE, dtype=np.uint8)
+    for steps, linked in ((2, True), (3, False)):
+        other = base.copy()
+        other[picks[0][:steps]] ^= 1
+        for pick in picks[1:]:
+            if (other[pick] == base[pick]).all():
+                other[next(c for c in pick if c not in picks[0])] ^= 1
+        rows = [(k, bytearray(np.packbits(x, bitorder="little").tobytes())) for k, x in enumerate((base, other))]
+        found = simhash_wide.candidates(spark.createDataFrame(rows, "node long, wide binary"), 0.8, simhash_wide.Scratch(spark, "test_cells")).collect()
+        assert {tuple(sorted(r)) for r in found if r.a != r.b} == ({(0, 1)} if linked else set())
+
+
 def test_near_forest_joins_all_near_rows():
     rnd = random.Random(3)
     rows = []
