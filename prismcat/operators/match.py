@@ -17,7 +17,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismcat.functions.exprs import hamming
@@ -27,6 +27,8 @@ from prismcat.plans.scratch import Scratch
 BLOCK_ROWS = 4096
 #: Values of a packed block, least and most, into how many blocks a table is cut between, and pairs that are looked at together.
 PACKED, CUTS, TILE = (2048, 65_536), 24, 1 << 18
+#: Videos of a packed block, and pairs of them that are looked at together.
+VIDEOS, VIDEO_TILE = 2048, 1 << 17
 #: Band widths in bits that are tried, and what a row that is spread costs against a pair that is compared.
 WIDTHS, ROW_COST = (8, 16, 32), 20
 
@@ -194,18 +196,22 @@ def cross_edges(targets: DataFrame, pool: DataFrame, lanes: list[str], t: int, b
     return near.join(own.toDF("target", "a").hint("merge"), "a").join(other.toDF("match", "b").hint("merge"), "b").where("target <> match").select("target", "match", "distance")
 
 
-def duration_pairs(videos: DataFrame, tol_s: float, tol_pct: float) -> DataFrame:
-    """(a, b) with a < b whose durations differ by at most max(tol_s, pct of the shorter); null never matches.
-
-    Durations go to logarithmic bands so wide that a partner is at most one band away.
-    """
+def _duration_band(tol_s: float, tol_pct: float) -> Column:
+    """Logarithmic bands of ``duration`` so wide that a partner is at most one band away."""
     import math
 
     base = math.log(1 + tol_pct / 100) if tol_pct > 0 else 1.0
     shift = tol_s / (tol_pct / 100) if tol_pct > 0 else 0.0
     # on log(duration + shift) the tolerance is at most 2 * base, so bands of that width do
-    band = F.floor(F.log(F.col("duration") + shift + 1e-9) / (2 * base)).cast("long") if tol_pct > 0 else F.floor(F.col("duration") / max(tol_s, 1e-9)).cast("long")
-    placed = videos.where("duration IS NOT NULL").select("id", "duration", band.alias("band"))
+    return F.floor(F.log(F.col("duration") + shift + 1e-9) / (2 * base)).cast("long") if tol_pct > 0 else F.floor(F.col("duration") / max(tol_s, 1e-9)).cast("long")
+
+
+def duration_pairs(videos: DataFrame, tol_s: float, tol_pct: float) -> DataFrame:
+    """(a, b) with a < b whose durations differ by at most max(tol_s, pct of the shorter); null never matches.
+
+    Durations go to logarithmic bands so wide that a partner is at most one band away.
+    """
+    placed = videos.where("duration IS NOT NULL").select("id", "duration", _duration_band(tol_s, tol_pct).alias("band"))
     a = placed.select(F.col("id").alias("a"), F.col("duration").alias("da"), F.explode(F.array([F.col("band") + k for k in (-1, 0, 1)])).alias("band"))
     b = placed.select(F.col("id").alias("b"), F.col("duration").alias("db"), "band")
     near = F.abs(F.col("da") - F.col("db")) <= F.greatest(F.lit(float(tol_s)), F.lit(tol_pct / 100) * F.least("da", "db"))
@@ -228,6 +234,128 @@ def vote_edges(frames: DataFrame, pairs: DataFrame, lanes: list[str], t: int, ga
     return votes.where((F.col("comparable") >= least) & (F.col("matching") / F.col("comparable") >= fraction))
 
 
+def _packed_videos(rows: DataFrame, lanes: list[str]) -> DataFrame:
+    """A row per block: ids and durations of its videos in the order of durations, and their frames as arrays.
+
+    A frame: its video's place, its number, how many rows of its video had that number before, whether it has a signature, lanes.
+    """
+
+    def pack(table: pa.Table) -> pa.Table:
+        # by duration, then by video and frame
+        table = table.sort_by([("duration", "ascending"), ("id", "ascending"), ("frame", "ascending")])
+        ids, frame = (table.column(c).to_numpy().astype("<i8") for c in ("id", "frame"))
+        new = np.r_[True, ids[1:] != ids[:-1]]
+        fresh = new | np.r_[True, frame[1:] != frame[:-1]]
+        nth = np.arange(len(ids))
+        nth -= np.maximum.accumulate(np.where(fresh, nth, 0))
+        told = np.logical_and.reduce([table.column(x).is_valid().to_numpy(zero_copy_only=False) for x in lanes])
+        sig = [table.column(x).fill_null(0).to_numpy().astype("<i8") for x in lanes]
+        frames = np.stack([np.cumsum(new) - 1, frame, nth, told, *sig]).astype("<i8")
+        blobs = {"ids": ids[new], "durations": table.column("duration").to_numpy().astype("<f8")[new], "frames": frames}
+        return pa.table({"band": table.column("band").slice(0, 1), "cut": table.column("cut").slice(0, 1)} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in blobs.items()})
+
+    return rows.groupBy("band", "cut").applyInArrow(pack, "band long, cut long, ids binary, durations binary, frames binary")
+
+
+def _by_number(frames: np.ndarray, lo: int, hi: int) -> dict[int, list[np.ndarray]]:
+    """Frames of the videos lo to hi by their number: a part for each time a number comes again in a video."""
+    own = frames[:, np.searchsorted(frames[0], lo) : np.searchsorted(frames[0], hi)]
+    own = own[:, np.lexsort((own[0], own[2], own[1]))]
+    cuts = np.flatnonzero((np.diff(own[1]) != 0) | (np.diff(own[2]) != 0)) + 1
+    out: dict[int, list[np.ndarray]] = {}
+    for part in np.split(own, cuts, axis=1) if own.shape[1] else ():
+        out.setdefault(int(part[1, 0]), []).append(part)
+    return out
+
+
+def voted(a: tuple, b: tuple | None, tol_s: float, part: float, t: int, least: int, fraction: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(i, j, sum, comparable, matching) of videos of two packed blocks that agree by vote; without ``b`` those of ``a`` with i < j."""
+    other = a if b is None else b
+    (_, da, fa), (_, db, fb) = a, other
+    step = max(1, VIDEO_TILE // max(1, len(db)))
+    for at in range(0, len(da), step):
+        upto = min(at + step, len(da))
+        mine = da[at:upto]
+        reach = np.maximum(tol_s, part * mine) * (1 + 1e-9) + 1e-9
+        lo, hi = np.searchsorted(db, (mine - reach).min()), np.searchsorted(db, (mine + reach).max(), "right")
+        lo = max(lo, at) if b is None else lo
+        if lo >= hi:
+            continue
+        shape = (upto - at, hi - lo)
+        comparable, matching, far = (np.zeros(shape, dtype=np.int32) for _ in range(3))
+        theirs = _by_number(fb, lo, hi)
+        for number, parts in _by_number(fa, at, upto).items():
+            for x in parts:
+                for y in theirs.get(number, ()):
+                    d = np.zeros((x.shape[1], y.shape[1]), dtype=np.int32)
+                    for p, q in zip(x[4:].view(np.uint64), y[4:].view(np.uint64)):
+                        d += np.bitwise_count(p[:, None] ^ q[None, :])
+                    hit = (d <= t) & ((x[3] == 1)[:, None] & (y[3] == 1)[None, :])
+                    cells = np.ix_(x[0] - at, y[0] - lo)
+                    comparable[cells] += 1
+                    matching[cells] += hit
+                    far[cells] += d * hit
+        with np.errstate(invalid="ignore", divide="ignore"):
+            keep = (comparable >= max(1, least)) & (matching / comparable >= fraction)
+        i, j = np.nonzero(keep)
+        counts = far[i, j], comparable[i, j], matching[i, j]
+        i, j = i + at, j + lo
+        near = np.abs(da[i] - db[j]) <= np.maximum(tol_s, part * np.minimum(da[i], db[j]))
+        if b is None:
+            near &= i < j
+        if near.any():
+            yield i[near], j[near], *(c[near] for c in counts)
+
+
+def video_edges(frames: DataFrame, videos: DataFrame, tol_s: float, tol_pct: float, lanes: list[str], t: int, gate: int, least: int, fraction: float) -> DataFrame:
+    """(a, b, distance, comparable, matching): ``vote_edges`` of ``duration_pairs``, without a row for each pair and frame.
+
+    ``videos``: (id, duration), an id once.  Videos of a band of durations go to blocks, and each pair of blocks of the same
+    band or of neighbours is compared once, as packed arrays; a band that is full has more blocks.
+    """
+    scratch = Scratch(frames.sparkSession, "video_edges")
+    f = frames.where((F.coalesce("quality", F.lit(0)) >= gate) & F.col("frame").isNotNull()).select("id", F.col("frame").cast("long").alias("frame"), *[F.col(x).cast("long").alias(x) for x in lanes])
+    usable = f.select("id").distinct()  # rows may repeat a number, so few of them may still make many comparisons
+    placed = scratch.write(
+        videos.where("duration IS NOT NULL").select("id", F.col("duration").cast("double").alias("duration"), _duration_band(tol_s, tol_pct).alias("band")).where("band IS NOT NULL").join(usable, "id"), "placed"
+    )
+    sizes = scratch.write(placed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).withColumn("cuts", F.ceil(F.col("n") / VIDEOS)), "sizes")
+    block = F.pmod(F.xxhash64("id"), F.col("cuts")).alias("cut")
+    blocks = scratch.write(_packed_videos(f.join(placed.join(sizes, "band").select("id", "duration", "band", block), "id"), lanes), "packed")
+    after = sizes.select((F.col("band") - 1).alias("band"), F.col("cuts").alias("after"), F.col("n").alias("m"))
+    before = sizes.select((F.col("band") + 1).alias("band"), F.col("cuts").alias("before"))
+    work = sizes.join(after, "band", "left").agg(F.sum(F.col("n") * (F.col("n") / 2 + F.coalesce("m", F.lit(0))))).first()[0] or 0
+    each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1)).alias("other")
+    met = lambda how, k: blocks.join(how, "band").select("*", each(k))
+    pair = lambda df, p, x, q, y, s: df.select(p.alias("p"), x.alias("x"), q.alias("q"), y.alias("y"), s.alias("side"), "ids", "durations", "frames")
+    band, cut, other = F.col("band"), F.col("cut"), F.col("other")
+    rows = pair(met(sizes.select("band", "cuts"), "cuts"), band, F.least(cut, other), band, F.greatest(cut, other), (cut > other).cast("int"))
+    rows = rows.unionByName(pair(met(after, "after"), band, cut, band + 1, other, F.lit(0))).unionByName(pair(met(before, "before"), band - 1, other, band, cut, F.lit(1)))
+    wide, part = len(lanes), tol_pct / 100
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                key, side = tuple(batch.column(c)[k].as_py() for c in ("p", "x", "q", "y")), batch.column("side")[k].as_py()
+                read = lambda c, kind: np.frombuffer(batch.column(c)[k].as_py(), dtype=kind)  # noqa: B023, E731
+                own = read("ids", "<i8"), read("durations", "<f8"), read("frames", "<i8").reshape(4 + wide, -1)
+                if side == 0:
+                    held, first = key, own
+                    if key[:2] != key[2:]:
+                        continue
+                if held != key:
+                    continue
+                for i, j, *counts in voted(first, None if side == 0 else own, tol_s, part, t, least, fraction):
+                    a, b = first[0][i], own[0][j]
+                    yield pa.record_batch(dict(zip(("a", "b", "sum", "comparable", "matching"), map(pa.array, (np.minimum(a, b), np.maximum(a, b), *(c.astype(np.int64) for c in counts))))))
+
+    keys = ("p", "x", "q", "y")
+    found = rows.repartition(max(1, int(2 * work / VIDEOS**2)), *keys).sortWithinPartitions(*keys, "side").mapInArrow(run, "a long, b long, sum long, comparable long, matching long")
+    mean = F.when(F.col("matching") > 0, F.col("sum") / F.when(F.col("matching") > 0, F.col("matching")))
+    return found.select("a", "b", F.bround(mean).cast("int").alias("distance"), "comparable", "matching")
+
+
 def nearest(edges: DataFrame) -> DataFrame:
     """(id, distance, neighbours): the nearest neighbour's distance per member."""
     both = edges.select(F.col("a").alias("id"), "distance").unionByName(edges.select(F.col("b").alias("id"), "distance"))

@@ -200,7 +200,7 @@ def _pairs(spark, sf_dir: str) -> DataFrame:
 
 
 def _votes(spark, sf_dir: str) -> DataFrame:
-    return match.vote_edges(C.frames(spark, sf_dir), _pairs(spark, sf_dir), LANES, MATCH, GATE, LEAST, FRACTION)
+    return match.video_edges(C.frames(spark, sf_dir), C.videos(spark, sf_dir), TOL_S, TOL_PCT, LANES, MATCH, GATE, LEAST, FRACTION)
 
 
 @query(f"WITH {_PAIRS} SELECT a, b FROM pair")

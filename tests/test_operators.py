@@ -147,6 +147,27 @@ def test_vote(spark):
     assert [(r.a, r.b, r.comparable, r.matching, r.distance) for r in got] == [(1, 2, 6, 5, 2)]
 
 
+@pytest.mark.parametrize(("videos_a_block", "least", "tol"), [(2048, 2, (1.0, 5.0)), (4, 1, (1.0, 5.0)), (4, 3, (2.0, 0.0))])
+def test_video_blocks_lose_no_pair(spark, monkeypatch, videos_a_block, least, tol):
+    """As voting over every pair of durations, with a hot duration, numbers that come again, gaps, and unsigned frames; no table of pairs."""
+    monkeypatch.setattr(match, "VIDEOS", videos_a_block)
+    monkeypatch.setattr(match, "VIDEO_TILE", 40)
+    rng = random.Random(5)
+    durations = [(k, None if k % 17 == 0 else 30.0 if k % 3 == 0 else round(rng.uniform(0.5, 60), 1)) for k in range(60)]
+    rows = [(k, rng.choice([0, 1, 2, 2, 7, None]), rng.choice([None, rng.getrandbits(12), rng.getrandbits(3)]), rng.getrandbits(5), rng.choice([None, 10, 60, 90])) for k in range(60) for _ in range(rng.randrange(9))]
+    frames, videos = spark.createDataFrame(rows, "id long, frame long, l0 long, l1 long, quality int"), spark.createDataFrame(durations, "id long, duration double")
+    lanes, rules = ["l0", "l1"], (9, 20, least, 0.3)
+    columns = ("a", "b", "distance", "comparable", "matching")
+    want = match.vote_edges(frames, match.duration_pairs(videos, *tol), lanes, *rules).select(*columns)
+    found = match.video_edges(frames, videos, *tol, lanes, *rules).select(*columns)
+    assert found.dtypes == want.dtypes
+    got = sorted(map(tuple, found.collect()))
+    expected = sorted(map(tuple, want.collect()))
+    assert got == expected
+    assert got
+    assert "da#" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bands_and_rates(spark):
     one = spark.range(1)
     band = lambda x: one.select(X.log_band(F.lit(float(x)), 10.0)).first()[0]
