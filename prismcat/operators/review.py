@@ -224,13 +224,13 @@ def cards(jobs: DataFrame, runs: DataFrame) -> DataFrame:
 def low_confidence(edges: DataFrame, quality: DataFrame, hint: int) -> DataFrame:
     """id, distance, quality, low_confidence per member: nearest neighbour, and whether it or a neighbour is below the hint.
 
-    ``quality``: id, quality; null never flags.
+    ``quality``: id, quality; null never flags.  It may be as large as the catalog whatever its file's size, so it is never broadcast.
     """
     ends = edges.select(F.col("a").alias("id"), F.col("b").alias("other"), "distance").unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other"), "distance"))
     poor = F.coalesce(F.col("quality") < hint, F.lit(False))
-    near = ends.join(quality.select(F.col("id").alias("other"), poor.alias("poor")), "other", "left")
+    near = ends.join(quality.select(F.col("id").alias("other"), poor.alias("poor")).hint("merge"), "other", "left")
     per = near.groupBy("id").agg(F.min("distance").alias("distance"), F.coalesce(F.bool_or("poor"), F.lit(False)).alias("poor"))
-    return per.join(quality, "id", "left").select("id", "distance", "quality", (F.col("poor") | poor).alias("low_confidence"))
+    return per.join(quality.hint("merge"), "id", "left").select("id", "distance", "quality", (F.col("poor") | poor).alias("low_confidence"))
 
 
 def is_network(column: str = "path") -> Column:

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from prismcat.functions import exprs as X
-from prismcat.operators import match, rank, reconcile, store
+from prismcat.operators import match, rank, reconcile, review, store
 from prismcat.operators.cluster import connected_components
 from prismcat.plans import jobs as J
 from prismcat.sources import config
@@ -128,6 +128,14 @@ def test_spread_sides_are_not_broadcast(spark):
     assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
 
 
+def test_qualities_are_not_broadcast(spark):
+    edges = spark.createDataFrame([(1, 2, 5), (2, 3, 4), (4, 5, 9), (6, 7, 1)], "a long, b long, distance int")
+    quality = spark.sql("SELECT * FROM VALUES (1L, 3), (2L, 50), (3L, NULL), (4L, 30), (5L, 20), (8L, 1) AS q(id, quality)")
+    out = review.low_confidence(edges, quality, 20)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 5, 3, True), (2, 4, 50, True), (3, 4, None, False), (4, 9, 30, False), (5, 9, 20, False), (6, 1, None, False), (7, 1, None, False)]
+
+
 def test_duration_pairs(spark):
     values = [None, 0.0, 0.5, 1.0, 1.6, 10.0, 10.2, 10.9, 12.0, 100.0, 104.9, 105.1, 1000.0, 1050.0, 1051.0]
     df = spark.createDataFrame(list(enumerate(values)), "id long, duration double")
