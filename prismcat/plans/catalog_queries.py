@@ -66,13 +66,16 @@ FORMATS = ("png", "heic", "jpg", "cr2")
 
 
 def _members(spark, sf_dir: str) -> DataFrame:
-    """Group members with the fields that rank photos: pixels, format rank of the path, size."""
+    """Group members with the fields that rank photos: pixels, format rank of the path, size.
+
+    The catalog's tables take part whole and their files tell little of their size, so they are never broadcast.
+    """
     sig = C.signatures(spark, sf_dir).select("id", (F.col("label") % 2).alias("is_external"))
     ext = F.element_at(F.array(*[F.lit(x) for x in FORMATS]), (F.col("id") % 4 + 1).cast("int"))
     path = F.concat(F.lit("/p/"), F.lpad(F.col("id").cast("string"), 8, "0"), F.lit("."), ext)
     pixels = F.coalesce(F.col("p_size") % 4, F.lit(0)) * F.when(F.col("p_partkey") % 9 != 0, F.lit(3)).otherwise(0)
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), pixels.cast("long").alias("pixels"), (F.floor("p_retailprice") % 5).cast("long").alias("size"))
-    rows = match.groups(_links(spark, sf_dir)).join(sig, "id").join(part, "id").withColumn("path", path)
+    rows = match.groups(_links(spark, sf_dir)).join(sig.hint("merge"), "id").join(part.hint("merge"), "id").withColumn("path", path)
     return rows.withColumn("format", X.format_rank(F.col("path")))
 
 

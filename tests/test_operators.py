@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from prismcat.functions import exprs as X
 from prismcat.operators import match, rank, reconcile, review, store
 from prismcat.operators.cluster import connected_components
+from prismcat.plans import catalog_queries
 from prismcat.plans import jobs as J
 from prismcat.sources import config
 from prismcat.sources import sinks, walk
 
+SF_DIR = "/root/testdata/sf0.001"
+
 
 def components_of(edges):
     up = {}
@@ -128,6 +131,24 @@ def test_spread_sides_are_not_broadcast(spark):
     assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
 
 
+def broadcast_scans(df):
+    """Scans below broadcasts in the plan."""
+    found, depth = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        depth = None if depth is not None and at <= depth else depth
+        if "BroadcastExchange" in line and depth is None:
+            depth = at
+        elif depth is not None and "FileScan" in line:
+            found.append(line)
+    return found
+
+
+def test_the_catalog_is_not_broadcast(spark):
+    found = broadcast_scans(catalog_queries._members(spark, SF_DIR))
+    assert not [x for x in found if "p_partkey" in x or "vec_id" in x]
+
+
 def test_qualities_are_not_broadcast(spark):
     edges = spark.createDataFrame([(1, 2, 5), (2, 3, 4), (4, 5, 9), (6, 7, 1)], "a long, b long, distance int")
     quality = spark.sql("SELECT * FROM VALUES (1L, 3), (2L, 50), (3L, NULL), (4L, 30), (5L, 20), (8L, 1) AS q(id, quality)")
